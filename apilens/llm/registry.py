@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from apilens.llm import byte_bpe, exact_dedup, quality_classifier, quality_rules, sharding
+from apilens.llm import byte_bpe, exact_dedup, ngram_join, quality_classifier, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_sharding": sharding.op8_sharding,
