@@ -429,14 +429,16 @@ def ngram_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     links = written(_subset_links(rows, nodes), "links")
     big = f"greatest(x.n, y.n) > {small}"
 
-    left, found = _crossing(lists), None
+    left, before = _crossing(lists), None
     for turn in range(rounds + 1):
         left = written(left, "left")
         held = left.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("s"))
         pairs, n = held.agg(F.sum((F.col("g") * F.col("g") - F.col("s")) / 2), F.sum("g")).first()
         if not n:
             break
-        last = turn > 0 and (pairs <= 8 * n + 200_000 or turn == rounds)
+        # Leaders go on only while they at least halve what is left to compare.
+        last = turn > 0 and (pairs <= 8 * n + 200_000 or 2 * pairs > before or turn == rounds)
+        before = pairs
         if last:
             x, y = (left.select("token", F.struct("node", "n", "pos", "component").alias(c)) for c in "xy")
             chosen = _candidates(x.join(y, "token").filter("x.component <> y.component AND x.node < y.node").filter(big), percent)
@@ -446,8 +448,7 @@ def ngram_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         links = written(links.unionByName(more), "links")
         if last:
             break
-        found = components(links)
-        left = _crossing(_labelled(left, found))
+        left = _crossing(_labelled(left, components(links)))
     found = written(components(links), "components")
 
     classes = nodes.join(found, "node", "left").select("sid", F.coalesce("component", "node").alias("component")).distinct()
