@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from apilens.llm import byte_bpe, exact_dedup, html_extract, ngram_join, quality_classifier, quality_rules, sharding, url_filter, warc
+import corpus_pipeline
+from apilens.llm import byte_bpe, exact_dedup, html_extract, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_mixing": mixing.op2_mixing,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_warc": warc.op4_warc,
     "op5_html_extract": html_extract.op5_html_extract,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
