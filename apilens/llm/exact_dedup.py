@@ -40,17 +40,15 @@ def _block_hash(block: Column) -> Column:
 
 
 def _first_names(blocks: DataFrame, block_hash) -> DataFrame:
-    """(h, name, nth): names of the distinct blocks; nth over 0 where a hash is shared."""
+    """(h, name) of the distinct blocks."""
     distinct = blocks.select(F.explode("blocks").alias("block")).distinct()
     named = distinct.sortWithinPartitions("block").select(block_hash(F.col("block")).alias("h"), F.monotonically_increasing_id().alias("name"))
     return written(named, "block-names")
 
 
-def _by_hash(found: DataFrame, names: DataFrame, blocks: DataFrame, block_hash) -> DataFrame:
-    """(rid, pos, h) with names. ``blocks`` is read again only for hashes that different blocks share."""
-    shared = names.groupBy("h").count().filter("count > 1").select("h")
-    clash = written(shared, "block-clashes")
-    if clash.isEmpty():
+def _by_hash(found: DataFrame, names: DataFrame, clash: DataFrame | None, blocks: DataFrame, block_hash) -> DataFrame:
+    """(rid, pos, h) with names; blocks in ``clash``, whose hash others share, are looked up by content."""
+    if clash is None:
         return found.join(names, "h").select("rid", "pos", "name")
     order = Window.partitionBy("h")
     again = blocks.select("rid", F.posexplode("blocks").alias("pos", "block")).withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi")
@@ -83,12 +81,17 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = norm.withColumn("rid", F.monotonically_increasing_id())
     blocks = norm.withColumn("blocks", _blocks("norm", block_chars))
     names = _first_names(blocks, block_hash)
+    clash = written(names.groupBy("h").count().filter("count > 1").select("h"), "block-clashes")
+    if clash.isEmpty():
+        clash = None
+    else:
+        blocks = written(blocks.select("rid", "doc_id", "norm", "blocks"), "blocks")  # read twice below: rows must keep their numbers
     rows = written(
         blocks.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.size("blocks").alias("n_blocks"), F.transform("blocks", block_hash).alias("hashes")),
         "block-rows",
     )
     found = rows.select("rid", F.posexplode("hashes").alias("pos", "h"))
-    level = written(_gathered(_by_hash(found, names, blocks, block_hash)), "names-0")
+    level = written(_gathered(_by_hash(found, names, clash, blocks, block_hash)), "names-0")
     done = level.filter(F.size("names") == 1)
     k, left = 0, rows.agg(F.max("n_blocks")).first()[0] or 0
     while left > 1:

@@ -32,7 +32,7 @@ WORDS = 5
 CHUNK = 1 << 20  # bytes of a text that are hashed at once
 MOST_SMALL = 12  # the largest boundary that is considered
 COUNTED = 1 << 22  # shingles that a task counts at once
-HEAVY = 1 << 16  # bound of the table of frequent shingles, which only sets their order
+HEAVY = 1 << 18  # bound of the table of frequent shingles, which only sets their order
 BUCKET_ROWS = 1_000_000  # postings of a bucket, on average
 FILTER_BITS = 1 << 24  # bound of the filter of sets to fetch
 
@@ -174,7 +174,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def often() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            tokens, seen = tokens[seen >= 4].view(np.int64), seen[seen >= 4]
+            tokens, seen = tokens[seen >= 2].view(np.int64), seen[seen >= 2]
             return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.int64()), pa.nulls(len(tokens), pa.binary()), pa.array(tokens), pa.array(seen)], names=names)
 
         for batch in batches:
@@ -409,9 +409,9 @@ def ngram_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     table gives an empty result; other columns aren't read.
     """
     profile = written(_profile(docs, id_col, text_col), "profile")
-    seen = profile.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).filter("seen >= 16")
-    heavy = sorted((r.seen, r.token) for r in seen.orderBy(F.desc("seen"), "token").limit(HEAVY).collect())
-    heavy = np.array([t for _, t in heavy], np.int64).view(np.uint64)
+    seen = profile.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).filter("seen >= 4")
+    top = seen.orderBy(F.desc("seen"), "token").limit(HEAVY).toArrow()
+    heavy = top.column("token").to_numpy()[::-1].astype(np.int64).view(np.uint64)  # rarest first
     sizes = {r.n: r["count"] for r in profile.filter(f"n > 0 AND n <= {2 * MOST_SMALL}").dropDuplicates(["sid"]).groupBy("n").count().collect()}
     small = boundary(sizes, percent)
     total = profile.agg(F.sum("n")).first()[0] or 0
