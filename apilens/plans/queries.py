@@ -301,13 +301,13 @@ def q34_grep_hits(spark, d):
     return grep.grep_native(table(spark, d, "conversations"), "the", ["conv_id", "turn"], "text").select("conv_id", "turn", "at", "line", "col")
 
 
-@query(f"WITH {_HITS} SELECT conv_id, turn, "at", line, col, rtrim(string_split(text, chr(10))[line], chr(10)) AS snippet FROM placed JOIN conversations USING (conv_id, turn)")
+@query(f"WITH {_HITS} SELECT conv_id, turn, \"at\", line, col, rtrim(string_split(text, chr(10))[line], chr(10)) AS snippet FROM placed JOIN conversations USING (conv_id, turn)")
 def q35_grep_context(spark, d):
     found = grep.grep(table(spark, d, "conversations"), "the", ["conv_id", "turn"], "text", context=0, max_bytes=None)
     return found.select("conv_id", "turn", "at", "line", "col", "snippet")
 
 
-@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, "at") AS n FROM placed) SELECT CAST(count(*) FILTER (n > 50) AS BIGINT) AS hits_not_printed, CAST(count(DISTINCT (conv_id, turn)) FILTER (n > 50) AS BIGINT) AS files_with_hits_not_printed FROM r")
+@query(f"WITH {_HITS}, r AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, \"at\") AS n FROM placed) SELECT CAST(count(*) FILTER (n > 50) AS BIGINT) AS hits_not_printed, CAST(count(DISTINCT (conv_id, turn)) FILTER (n > 50) AS BIGINT) AS files_with_hits_not_printed FROM r")
 def q36_grep_cap_summary(spark, d):
     found = grep.grep(table(spark, d, "conversations"), "the", ["conv_id", "turn"], "text")
     return grep.capped(found, ["conv_id", "turn"])[1].select("hits_not_printed", "files_with_hits_not_printed")
