@@ -10,7 +10,7 @@ from apilens.functions import shapes, urls
 
 def escaped(s: Column) -> Column:
     """Control, bidirectional, zero-width and byte-order characters spelt out."""
-    odd = r"[\x00-\x1f\x7f-\x9f\x{61c}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}]"
+    odd = r"[\x00-\x1f\x7f-\x9f\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]"
     chars = F.transform(F.split(s, "(?<=.)(?=.)|(?<=\\n)|(?=\\n)"), lambda c: F.when(F.regexp_like(c, F.lit(f"(?s)^{odd}$")), F.concat(F.lit("\\u{"), F.lower(F.regexp_replace(F.hex(F.encode(c, "UTF-16BE")), "^0+(?=.)", "")), F.lit("}"))).otherwise(c))
     return F.when(F.regexp_like(s, F.lit(odd)), F.array_join(chars, "")).otherwise(s)
 
