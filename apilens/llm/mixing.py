@@ -94,7 +94,7 @@ def plan(sizes: list[int], weights: list[float], block_rows: int = BLOCK_ROWS) -
 
 
 _SCHEMA = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_rows", T.LongType()), T.StructField("phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
+    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_rows", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
     T.StructField("_slot0", T.LongType()), T.StructField("_period", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType())), T.StructField("_missing", T.LongType()),
 ])
 
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     own, parts = block - F.col("_from"), F.size("_slots")
     slot = F.col("_slot0") + F.floor(own / parts) * F.col("_period") + F.element_at("_slots", (own % parts + 1).cast("int"))
     found = found.withColumns({
-        "mix_phase": F.col("phase"),
+        "mix_phase": F.col("_phase"),
         "mix_block": block,
         "mix_release": F.col("_slot0") + F.floor(own * F.col("_period") / parts),
         "mix_deadline": F.col("_slot0") + F.ceil((own + 1) * F.col("_period") / parts),

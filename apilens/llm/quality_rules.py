@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from apilens.llm.common import table
 
@@ -89,8 +90,8 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(STATS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names=list(STATS))], names=["row", "stats"])
 
-    kind = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {kind}, stats struct<{', '.join(f'{s}: bigint' for s in STATS)}>")
+    counts = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
+    return packed.mapInArrow(run, T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("stats", counts)]))
 
 
 def features(stats: str = "stats") -> dict[str, Column]:

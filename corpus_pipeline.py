@@ -7,7 +7,6 @@ as Parquet in the shared folder and read again as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from apilens.llm.byte_bpe import encode_documents
 from apilens.llm.common import table, written
