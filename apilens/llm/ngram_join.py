@@ -34,6 +34,7 @@ MOST_SMALL = 12  # the largest boundary that is considered
 COUNTED = 1 << 22  # shingles that a task counts at once
 HEAVY = 1 << 18  # bound of the table of frequent shingles, which only sets their order
 BUCKET_ROWS = 1_000_000  # postings of a bucket, on average
+PARITY = ("b0", "b1", "b2", "b3")  # words of a set's parity bits
 FILTER_BITS = 1 << 24  # bound of the filter of sets to fetch
 
 _random = np.random.default_rng(20240229)
@@ -126,6 +127,15 @@ def partners(n: int, percent: int) -> range:
     return range((percent * n + 99) // 100, 100 * n // percent + 1)
 
 
+def parities(found: np.ndarray) -> tuple[int, ...]:
+    """A word for each of PARITY whose bit i tells whether an odd number of members fall on it.
+
+    The bits in which two sets differ are at most as many as the members in which they do.
+    """
+    word, bits = (found >> np.uint64(6)) % np.uint64(len(PARITY)), np.uint64(1) << (found & np.uint64(63))
+    return tuple(int(np.bitwise_xor.reduce(bits[word == w], initial=np.uint64(0)).view(np.int64)) for w in range(len(PARITY)))
+
+
 def subset_keys(found: np.ndarray, most: int, percent: int) -> list[tuple[int, int, int]]:
     """(key, smaller size, larger size) of each subset that a partner of at most ``most`` shingles would share."""
     out, n = [], len(found)
@@ -193,7 +203,7 @@ def _profile(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text_col: str, heavy: np.ndarray, small: int, percent: int, buckets: int) -> DataFrame:
-    """Per document (rid, sid, n, central), per subset (rid, token, lo, hi), per posting of a heavy shingle
+    """Per document (rid, sid, n, central, parities), per subset (rid, token, lo, hi), per posting of a heavy shingle
     (rid, token, pos), and per batch and bucket the other postings packed: rid of the first document, then
     32 bits of each shingle, its document's place in the batch, its place in that document's order."""
     order_of = np.argsort(heavy)  # heavy has the rarest first: the places in it of the sorted ones
@@ -204,7 +214,7 @@ def _postings(docs: DataFrame, text_col: str, heavy: np.ndarray, small: int, per
 
         rid = TaskContext.get().partitionId() << 40
         seen: set[bytes] = set()
-        schema = pa.schema([("rid", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("central", pa.int32()), ("token", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("pos", pa.int32()), ("bucket", pa.int64()), ("packed", pa.binary())])
+        schema = pa.schema([("rid", pa.int64()), ("sid", pa.binary()), ("n", pa.int64()), ("central", pa.int32()), *((w, pa.int64()) for w in PARITY), ("token", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("pos", pa.int32()), ("bucket", pa.int64()), ("packed", pa.binary())])
 
         def batch_of(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -226,7 +236,8 @@ def _postings(docs: DataFrame, text_col: str, heavy: np.ndarray, small: int, per
                     local.append(np.full(len(prefix), i, np.uint16))
                     places.append(np.minimum(np.arange(len(prefix)), 65535).astype(np.uint16))
                     dense.append(np.arange(len(prefix)) >= n - often.sum())
-            yield batch_of(rid=np.arange(first, first + len(sets)), sid=ids, n=[len(x) for x in sets], central=central)
+            parity = dict(zip(PARITY, zip(*map(parities, sets), strict=True), strict=True))
+            yield batch_of(rid=np.arange(first, first + len(sets)), sid=ids, n=[len(x) for x in sets], central=central, **parity)
             if subsets:
                 r, key, lo, hi = zip(*subsets, strict=True)
                 yield batch_of(rid=r, token=key, lo=lo, hi=hi)
@@ -262,7 +273,7 @@ def _postings(docs: DataFrame, text_col: str, heavy: np.ndarray, small: int, per
         if sets:
             yield from flushed(rid, sets, ids)
 
-    schema = "rid long, sid binary, n long, central int, token long, lo int, hi int, pos int, bucket long, packed binary"
+    schema = f"rid long, sid binary, n long, central int, {', '.join(f'{w} long' for w in PARITY)}, token long, lo int, hi int, pos int, bucket long, packed binary"
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -288,7 +299,7 @@ def _met(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "token long, rid long, pos int")
 
 
-def _pair(a: str, b: str, percent: int) -> tuple[Column, Column]:
+def _pair(a: str, b: str, percent: int, parity: bool) -> tuple[Column, Column]:
     """Whether two postings of a list can belong to a linked pair, and how many such lists are asked for."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     least, most = F.least(na, nb), F.greatest(na, nb)
@@ -296,12 +307,14 @@ def _pair(a: str, b: str, percent: int) -> tuple[Column, Column]:
     k = F.floor(least / 20) + 1
     fits = (100 * least >= percent * most) & (F.col(f"{a}.pos") < na - need + k) & (F.col(f"{b}.pos") < nb - need + k)
     # Two shingles of a set may fall on one token, which then counts once: one less is asked for.
+    if parity:
+        fits = fits & (sum(F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in PARITY) <= na + nb - 2 * need)
     return fits, F.greatest(F.lit(1), k - 1)
 
 
-def _candidates(joined: DataFrame, percent: int) -> DataFrame:
-    """(a, b, lists) with enough lists; ``joined`` has postings x and y."""
-    fits, asked = _pair("x", "y", percent)
+def _candidates(joined: DataFrame, percent: int, parity: bool = False) -> DataFrame:
+    """(a, b) with enough lists; ``joined`` has postings x and y, with the parities of their sets if so said."""
+    fits, asked = _pair("x", "y", percent, parity)
     pairs = joined.filter(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), asked.alias("asked"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"), F.first("asked").alias("asked")).filter("lists >= asked").select("a", "b")
 
@@ -348,8 +361,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     pairs = written(pairs, "candidates")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(nodes.join(used, "node").select("node", "sid"), "wanted")
-    got = _fetch(docs, text_col, wanted).join(wanted, "sid").select("node", "items")
-    sets = written(got.dropDuplicates(["node"]), "sets")
+    got = _fetch(docs, text_col, wanted).groupBy("sid").agg(F.first("items").alias("items"))
+    sets = written(got.join(wanted, "sid").select("node", "items"), "sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("items").alias(f"of_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,13 +431,13 @@ def ngram_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     buckets = max(1, total * (100 - percent + 5) // 100 // BUCKET_ROWS)
 
     rows = written(_postings(docs, text_col, heavy, small, percent, buckets), "postings")
-    per_doc = rows.filter("sid IS NOT NULL").select("rid", "sid", "n", "central")
+    per_doc = rows.filter("sid IS NOT NULL").select("rid", "sid", "n", "central", *PARITY)
     node_of = per_doc.groupBy("sid").agg(F.min("rid").alias("node"))
-    nodes = written(per_doc.join(node_of, "sid"), "nodes")  # rid, sid, n, central, node
-    distinct = nodes.filter("rid = node").select("node", "sid")
+    nodes = written(per_doc.join(node_of, "sid"), "nodes")  # rid, sid, n, central, the parities, node
+    distinct = nodes.filter("rid = node").select("node", "sid", *PARITY)
 
     postings = _met(rows.filter("packed IS NOT NULL").select("bucket", "packed")).unionByName(rows.filter("pos IS NOT NULL").select("token", "rid", "pos"))
-    lists = postings.join(nodes.select("rid", "node", "n", "central"), "rid").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("central").alias("central"), F.min("pos").alias("pos")).withColumn("component", F.col("node"))
+    lists = postings.join(nodes.select("rid", "node", "n", "central"), "rid").groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("n", "central")], F.min("pos").alias("pos")).withColumn("component", F.col("node"))
     lists = written(lists, "lists")
     links = written(_subset_links(rows, nodes), "links")
     big = f"greatest(x.n, y.n) > {small}"
@@ -440,8 +453,10 @@ def ngram_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         last = turn > 0 and (pairs <= 8 * n + 200_000 or 2 * pairs > before or turn == rounds)
         before = pairs
         if last:
-            x, y = (left.select("token", F.struct("node", "n", "pos", "component").alias(c)) for c in "xy")
-            chosen = _candidates(x.join(y, "token").filter("x.component <> y.component AND x.node < y.node").filter(big), percent)
+            full = left.join(distinct.select("node", *PARITY), "node")  # both sides of the join are one exchange
+            crossing = F.col("x.component") != F.col("y.component")
+            met = full.alias("x").join(full.alias("y"), (F.col("x.token") == F.col("y.token")) & crossing & (F.col("x.node") < F.col("y.node")))
+            chosen = _candidates(met.filter(big), percent, parity=True)
         else:
             chosen = _led(left, percent, turn)
         more = _verified(chosen, distinct, docs, text_col, percent)

@@ -81,3 +81,12 @@ def test_components(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parities_never_exceed_the_difference():
+    g = np.random.default_rng(6)
+    for _ in range(200):
+        x, y = (np.unique(g.integers(0, 1 << 60, g.integers(0, 120)).astype(np.uint64)) for _ in range(2))
+        x = np.unique(np.concatenate([x, y[: len(y) // 2]]))
+        bits = sum(((a ^ b) & ((1 << 64) - 1)).bit_count() for a, b in zip(J.parities(x), J.parities(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
