@@ -8,16 +8,20 @@ its deadline, so that after any number of slots each source is less than one
 block away from its share. A phase ends with the slot in which a source gives
 its last block; the others go on with their weights, so that no row is lost.
 
-Weights are whole numbers, so that a phase's schedule repeats after as many
-slots as the weights add up to. That table of slots, whose size depends on the
-number of sources and never on rows, is planned on the driver; rows find their
-places by DataFrame expressions alone.
+Weights are kept as the exact fractions the caller gives, in whole numbers
+without a common divisor, so a phase's schedule repeats after as many slots as
+these add up to. One such period, or the phase where that is shorter, is planned
+on the driver: one step for each of its slots, so weights of many digits cost up
+to one step for each block of rows. Rows find their places by DataFrame
+expressions alone.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +30,16 @@ from pyspark.sql import types as T
 from apilens.llm.common import numbered, table
 
 BLOCK_ROWS = 16
-PERIOD = 1000  # weights are rounded to this many parts, or four for each source
+PERIOD = 1000  # of whole_weights
+REPEATED = 10_000  # periods of up to so many slots are planned once and repeated
+PIECE_BLOCKS = 1024  # the slots of longer ones are listed in pieces of so many blocks
+LAST = 2**63 - 1  # a later deadline is given as this
 SEED = 7
-BROADCAST_SOURCES = 200  # up to here the plan (at most sources^2 rows, sources * period slots) is broadcast
+BROADCAST_SOURCES = 200  # up to here the plan (at most sources^2 rows, sources * REPEATED slots) is broadcast
 
 
 def whole_weights(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole numbers, one at least, near the weights' shares of a period (largest remainders)."""
+    """Whole numbers, one at least, near the weights' shares of a period (largest remainders); ``plan`` doesn't round."""
     period = max(period, 4 * len(weights))
     shares = [w * period / sum(weights) for w in weights]
     out = [max(1, int(s)) for s in shares]
@@ -41,8 +48,24 @@ def whole_weights(weights: list[float], period: int = PERIOD) -> list[int]:
     return out
 
 
-def period_slots(parts: list[int]) -> list[list[int]]:
-    """The slots of each source in one period: earliest deadline first among the released blocks."""
+def exact(weight) -> Fraction:
+    """The weight as written: a float's shortest decimal form, so that 0.1 is a tenth."""
+    return Fraction(repr(float(weight))) if isinstance(weight, float) else Fraction(weight)
+
+
+def reduced(weights: list[Fraction]) -> list[int]:
+    """The least whole numbers in the ratios of the weights."""
+    scale = lcm(*(w.denominator for w in weights))
+    parts = [int(w * scale) for w in weights]
+    return [p // gcd(*parts) for p in parts]
+
+
+def period_slots(parts: list[int], left: list[int] | None = None) -> list[list[int]]:
+    """The slots of each source: earliest deadline first among the released blocks.
+
+    Of one period, or up to the slot in which a source gives the last of the
+    blocks it has ``left``.
+    """
     total, out = sum(parts), [[] for _ in parts]
     waiting, ready = [(0, i) for i in range(len(parts))], []  # by release; by deadline
     for slot in range(total):
@@ -51,6 +74,8 @@ def period_slots(parts: list[int]) -> list[list[int]]:
             heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // parts[i]), i))
         i = heapq.heappop(ready)[1]
         out[i].append(slot)
+        if left and len(out[i]) == left[i]:
+            break
         if len(out[i]) < parts[i]:
             heapq.heappush(waiting, (len(out[i]) * total // parts[i], i))
     return out
@@ -66,26 +91,34 @@ class Share:
     blocks: int
     first_slot: int  # of the phase
     period: int
-    slots: tuple[int, ...]  # the source's, in a period
+    slots: tuple[int, ...]  # the source's, in a period; of a long one, those of the phase
     missing: int  # rows that blocks of earlier phases lack
+    parts: int  # blocks in a period
 
+    def slot(self, j: int) -> int:
+        return self.first_slot + j // self.parts * self.period + self.slots[j % self.parts]
 
-def plan(sizes: list[int], weights: list[float], block_rows: int = BLOCK_ROWS) -> list[Share]:
+    def window(self, j: int) -> tuple[int, int]:
+        return self.first_slot + j * self.period // self.parts, self.first_slot - (-(j + 1) * self.period // self.parts)
+
+
+def plan(sizes: list[int], weights: list[float | Fraction], block_rows: int = BLOCK_ROWS) -> list[Share]:
     """The shares of all phases. Sources of no weight come after all others, in equal shares."""
     left = [-(-n // block_rows) for n in sizes]
     done, out, slot, missing, phase = [0] * len(sizes), [], 0, 0, 0
-    parts = dict(zip((i for i, w in enumerate(weights) if w > 0), whole_weights([w for w in weights if w > 0]), strict=True)) if any(w > 0 for w in weights) else {}
+    asked = {i: exact(w) for i, w in enumerate(weights) if w > 0}
     while any(left):
-        live = [i for i in range(len(sizes)) if left[i] and i in parts] or [i for i in range(len(sizes)) if left[i]]
-        held = [parts.get(i, 1) for i in live]
-        period, slots = sum(held), period_slots(held)
-        ends = [((left[i] - 1) // a) * period + s[(left[i] - 1) % a] + 1 for i, a, s in zip(live, held, slots, strict=True)]
-        length = min(ends)
+        live = [i for i in range(len(sizes)) if left[i] and i in asked] or [i for i in range(len(sizes)) if left[i]]
+        held = reduced([asked.get(i, Fraction(1)) for i in live])
+        period = sum(held)
+        slots = period_slots(held, None if period <= REPEATED else [left[i] for i in live])
+        ends = [((left[i] - 1) // a) * period + s[(left[i] - 1) % a] + 1 if len(s) > (left[i] - 1) % a else None for i, a, s in zip(live, held, slots, strict=True)]
+        length = min(x for x in ends if x is not None)
         last = live[ends.index(length)]
         for i, a, s in zip(live, held, slots, strict=True):
             n = (length // period) * a + sum(x < length % period for x in s)
             if n:
-                out.append(Share(i, phase, done[i], n, slot, period, tuple(s), missing))
+                out.append(Share(i, phase, done[i], n, slot, period, tuple(s), missing, a))
                 left[i] -= n
                 done[i] += n
         missing += -sizes[last] % block_rows
@@ -94,18 +127,35 @@ def plan(sizes: list[int], weights: list[float], block_rows: int = BLOCK_ROWS) -
 
 
 _SCHEMA = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_rows", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
+    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
     T.StructField("_slot0", T.LongType()), T.StructField("_period", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType())), T.StructField("_missing", T.LongType()),
 ])
+_LISTED = T.StructType([
+    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_piece", T.LongType()),
+    *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("_releases", "_deadlines", "_slots")], T.StructField("_missing", T.LongType()),
+])
+
+
+def _pieces(x: Share) -> list[tuple[int, int, int, list[int], list[int], list[int]]]:
+    """A long share, cut where a multiple of PIECE_BLOCKS of the source's blocks ends: from, to, piece, releases, deadlines, slots."""
+    out, at, end = [], x.first_block, x.first_block + x.blocks
+    while at < end:
+        to = min(end, (at // PIECE_BLOCKS + 1) * PIECE_BLOCKS)
+        own = range(at - x.first_block, to - x.first_block)
+        windows = [x.window(j) for j in own]
+        out.append((at, to, at // PIECE_BLOCKS, [min(r, LAST) for r, _ in windows], [min(d, LAST) for _, d in windows], [x.slot(j) for j in own]))
+        at = to
+    return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with mix_phase, mix_block, mix_release, mix_deadline, mix_slot, mix_position.
 
     ``mix_position`` is the row's place in the mixed order, gapless from 0.
     Rows of a source are dealt to its blocks in an order drawn by ``seed``.
     Without ``weights`` all sources weigh the same; a source that has none, or 0,
-    comes after all weighted ones. A null source is a source of its own. Null
+    comes after all weighted ones. Weights are numbers of any size; a float
+    counts as its shortest decimal form, and fractions are exact. A null source is a source of its own. Null
     and repeated ids are ordered like others, ties broken arbitrarily among
     equal ids. An empty table gives an empty result. Nothing is dropped when a
     source ends; the phase tells which rows follow the full target.
@@ -121,24 +171,30 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     for _, n in counts:
         starts.append(at)
         at += n
-    asked = [1.0 if weights is None else float(weights.get(s, 0.0)) for s, _ in counts]
-    table_rows = [(counts[x.source][0], starts[x.source], counts[x.source][1], x.phase, x.first_block, x.first_block + x.blocks, x.first_slot, x.period, list(x.slots), x.missing) for x in plan([n for _, n in counts], asked, block_rows)]
-    shares = spark.createDataFrame(table_rows, _SCHEMA)
-    if len(counts) <= BROADCAST_SOURCES:
-        shares = F.broadcast(shares)
-    block = F.floor((F.col("_row") - F.col("_first")) / block_rows)
-    found = rows.join(shares, F.col(source_col).eqNullSafe(F.col("_source")) & (block >= F.col("_from")) & (block < F.col("_to")))
-    own, parts = block - F.col("_from"), F.size("_slots")
-    slot = F.col("_slot0") + F.floor(own / parts) * F.col("_period") + F.element_at("_slots", (own % parts + 1).cast("int"))
-    found = found.withColumns({
-        "mix_phase": F.col("_phase"),
-        "mix_block": block,
-        "mix_release": F.col("_slot0") + F.floor(own * F.col("_period") / parts),
-        "mix_deadline": F.col("_slot0") + F.ceil((own + 1) * F.col("_period") / parts),
-        "mix_slot": slot,
-        "mix_position": slot * block_rows - F.col("_missing") + (F.col("_row") - F.col("_first")) % block_rows,
-    })
-    return found.select(*[F.col(f"`{c}`") for c in columns], *[F.col(c).cast("long").alias(c) for c in ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")])
+    asked = [1 if weights is None else weights.get(s, 0) for s, _ in counts]
+    shares = plan([n for _, n in counts], asked, block_rows)
+    short = [(counts[x.source][0], starts[x.source], x.phase, x.first_block, x.first_block + x.blocks, x.first_slot, x.period, list(x.slots), x.missing) for x in shares if x.period <= REPEATED]
+    long = [(counts[x.source][0], starts[x.source], x.phase, *piece, x.missing) for x in shares if x.period > REPEATED for piece in _pieces(x)]
+    begins = spark.createDataFrame([(s, at) for (s, _), at in zip(counts, starts, strict=True)], "_source string, _first long")
+    out, names = [], [F.col(f"`{c}`") for c in columns]
+    if short or not long:
+        repeated = spark.createDataFrame(short, _SCHEMA)
+        if len(counts) <= BROADCAST_SOURCES:
+            repeated = F.broadcast(repeated)
+        block = F.expr(f"(_row - _first) div {block_rows}")
+        found = rows.join(repeated, F.col(source_col).eqNullSafe(F.col("_source")) & (block >= F.col("_from")) & (block < F.col("_to")))
+        found = found.withColumn("_block", block).withColumn("_own", F.col("_block") - F.col("_from")).withColumn("_parts", F.size("_slots").cast("long"))
+        slot = F.col("_slot0") + F.expr("_own div _parts") * F.col("_period") + F.element_at("_slots", (F.col("_own") % F.col("_parts") + 1).cast("int"))
+        release, deadline = F.col("_slot0") + F.expr("_own * _period div _parts"), F.col("_slot0") + F.expr("((_own + 1) * _period + _parts - 1) div _parts")
+        out.append(found.withColumns({"mix_phase": F.col("_phase"), "mix_block": F.col("_block"), "mix_release": release, "mix_deadline": deadline, "mix_slot": slot}))
+    if long:
+        own = rows.join(F.broadcast(begins.withColumnsRenamed({"_source": "_s", "_first": "_begin"})), F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_block", F.expr(f"(_row - _begin) div {block_rows}")).withColumn("_of", F.expr(f"_block div {PIECE_BLOCKS}"))
+        found = own.join(spark.createDataFrame(long, _LISTED), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_piece")) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
+        at = (F.col("_block") - F.col("_from") + 1).cast("int")
+        out.append(found.withColumns({"mix_phase": F.col("_phase"), "mix_block": F.col("_block"), "mix_release": F.element_at("_releases", at), "mix_deadline": F.element_at("_deadlines", at), "mix_slot": F.element_at("_slots", at)}))
+    position = F.col("mix_slot") * block_rows - F.col("_missing") + (F.col("_row") - F.col("_first")) % block_rows
+    placed = [x.withColumn("mix_position", position).select(*names, *[F.col(c).cast("long").alias(c) for c in ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")]) for x in out]
+    return placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:

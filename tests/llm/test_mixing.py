@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import pytest
+
+from apilens.llm import mixing
 from apilens.llm.mixing import mix, mixed, plan, whole_weights
 
 
@@ -57,3 +61,33 @@ def test_layout_empty_and_clashing(spark):
     assert sorted(map(tuple, mixed(df.drop("mix_slot"), block_rows=2).collect())) == sorted((i, "s%d" % (i % 3)) for i in range(50))
     assert mix(df.limit(0)).count() == 0
     assert mix(df, block_rows=2).count() == 50
+
+
+@pytest.mark.parametrize("weights, blocks", [
+    ([1] * 3, 40_000), ([1] * 6, 20_000), ([1] * 21, 6_000), ([0.0001, 0.9999], 120_000), ([1e-9, 1], 120_000), ([0.1, 0.2, 0.7], 120_000), ([Fraction(1, 3), Fraction(1, 7), Fraction(11, 21)], 120_000), ([2**0.5, 3**0.5, 5**0.5, 0.001], 120_000),
+])
+def test_lag_against_the_weights_asked_for(weights, blocks):
+    sizes = [blocks] * len(weights)
+    shares = [x for x in plan(sizes, weights, 1) if x.phase == 0]
+    asked = [Fraction(str(w)) for w in weights]
+    order = sorted((x.slot(j), x.source) for x in shares for j in range(x.blocks))
+    assert [t for t, _ in order] == list(range(len(order))) and len(order) >= 100_000
+    total, got = sum(asked), [0] * len(weights)
+    for k, (_, i) in enumerate(order, 1):
+        got[i] += 1
+        if k % 97 == 0 or k == len(order):
+            assert all(abs(g * total - k * w) < total for g, w in zip(got, asked, strict=True))
+
+
+def test_rows_of_long_periods(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_BLOCKS", 8)
+    df = spark.createDataFrame([(i, "abc"[i % 3] if i % 10 else None) for i in range(900)], "doc_id long, source string").repartition(3)
+    weights = {"a": 2**0.5, "b": 1.0, "c": 1e-9, None: 0.37}
+    got = mix(df, weights, block_rows=4).collect()
+    assert sorted(x.doc_id for x in got) == list(range(900)) and sorted(x.mix_position for x in got) == list(range(900))
+    sources = [None, "a", "b", "c"]
+    want = {}
+    for x in plan([90, 270, 270, 270], [weights[s] for s in sources], 4):
+        for j in range(x.blocks):
+            want[sources[x.source], x.first_block + j] = (x.phase, *(min(w, 2**63 - 1) for w in x.window(j)), x.slot(j))
+    assert {(x.source, x.mix_block): (x.mix_phase, x.mix_release, x.mix_deadline, x.mix_slot) for x in got} == want
