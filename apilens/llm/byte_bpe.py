@@ -172,8 +172,8 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids; one row per input row.
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids and the columns to ``keep``; one row per input row.
 
     ``vocabulary`` names a file of public_tokenizers or is a path that every
     executor can open. Each match of the pattern is encoded separately, without
@@ -182,7 +182,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     columns aren't read.
     """
     pattern = pattern or public_tokenizers.PATTERN
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[docs[c] for c in keep or []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -204,10 +204,12 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                arrays, names = [*arrays, *[c.slice(at, 256) for c in batch.columns[2:]]], [*names, *(keep or [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
+    kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep or [])
+    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids + kept)
 
 
 def op7_byte_bpe(spark, sf_dir):

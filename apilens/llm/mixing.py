@@ -19,6 +19,7 @@ expressions alone.
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 from fractions import Fraction
 from math import gcd, lcm
@@ -204,5 +205,25 @@ def mixed(docs: DataFrame, **kw) -> DataFrame:
     return placed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def laid_out(docs: DataFrame) -> DataFrame:
+    """The rows that ``mixed`` laid out, read back from Parquet, with mix_position, gapless from 0.
+
+    The place follows from the number of the part file and the row's index in
+    it; only the number of rows of each file meets on the driver. ``docs`` must
+    be a table as it was read: other DataFrames have no ``_metadata``.
+    """
+    path = F.col("_metadata.file_path")
+    counts = docs.select(path.alias("f")).groupBy("f").count().collect()
+    files = sorted((int(re.search(r"part-(\d+)", r.f)[1]), r.f, r["count"]) for r in counts)
+    starts, at = [], 0
+    for _, f, n in files:
+        starts.append((f, at))
+        at += n
+    offsets = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "mix_position"]
+    rows = docs.select(*columns, path.alias("_path"), F.col("_metadata.row_index").alias("_index"))
+    return rows.join(F.broadcast(offsets), F.col("_path") == F.col("_file")).select(*columns, (F.col("_start") + F.col("_index")).alias("mix_position"))
+
+
 def op2_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from apilens.llm.byte_bpe import encode_documents
 from apilens.llm.common import table, written
 from apilens.llm.exact_dedup import deduplicated
-from apilens.llm.mixing import mixed
+from apilens.llm.mixing import laid_out, mixed
 from apilens.llm.ngram_join import ngram_components
 from apilens.llm.quality_rules import judge, learn_rules
 
@@ -39,8 +39,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
-    return encode_documents(docs, with_ids=False)
+    """Token counts, digests of the ids and of the decoded text, and each row's place in the order that mixing laid out."""
+    return encode_documents(laid_out(docs), with_ids=False, keep=["mix_position"])
 
 
 STAGES = [

@@ -5,6 +5,7 @@ import re
 import corpus_pipeline
 from apilens.llm import quality_rules as R
 from apilens.llm.byte_bpe import VOCABULARY, tokenizer
+from apilens.llm.mixing import mix
 from tests_ngram import brute
 
 
@@ -32,3 +33,20 @@ def test_each_stage_returns_the_columns_of_documents(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "n-gram join", "mixing", "byte BPE"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_mixing_decides_the_order_of_the_result(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = {r.doc_id: r.mix_position for r in mix(docs).collect()}
+    corpus_pipeline.mixing(spark, docs, d).write.parquet(str(tmp_path / "mixed"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        got = {r.doc_id: r.mix_position for r in corpus_pipeline.byte_bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+    rows = corpus_pipeline.run(spark, d).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
+    kept = docs.join(spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long"), "doc_id")
+    assert {r.doc_id: r.mix_position for r in rows} == {r.doc_id: r.mix_position for r in mix(kept).collect()}
