@@ -27,10 +27,14 @@ RAW = frozenset("script style noscript template textarea title iframe svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 SECTIONS = frozenset("html body main article section div td th table tr ul ol blockquote form aside nav header footer".split())
 # Elements and names of classes that hold no part of an article.
+# Apart elements with most of the page's text may turn out to hold the article, but not these.
+NEVER = frozenset("head nav footer header button menu".split())
 APART = frozenset("head nav footer aside form button dialog menu".split())
 APART_NAMES = re.compile(
-    r"(?:^|[-_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|discussion|cookies?|consent|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_])"
+    r"(?:^|[-_])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|cookies?|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo\w*|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_])"
 )
+# Not inside an article, where they may be what a part is about.
+OUTER_NAMES = re.compile(r"(?:(?:site|page|main|top|global|cookie|user|post)[-_])?(?:consent|discussion|login|notices?|related|search)(?:[-_](?:area|banner|bar|block|box|container|form|inner|items?|links?|list|panel|popup|posts?|section|widget|wrapper|wrap))*")
 HEADER_NAMES = re.compile(r"(?:^|[-_])header(?:$|[-_])")  # not inside an article
 HOLDS = frozenset({"main", "article"})
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,10 +48,10 @@ PUNCTUATION = ".,;:!?…¿¡。，、！？；：،؛؟।"
 class Node:
     """A run of text: its path, whether it stands apart from any article, whether a block begins with it."""
 
-    __slots__ = ("path", "apart", "starts", "text", "linked")
+    __slots__ = ("path", "within", "apart", "starts", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], apart: bool, starts: bool, text: str, linked: bool):
-        self.path, self.apart, self.starts, self.text, self.linked = path, apart, starts, text, linked
+    def __init__(self, path: tuple[str, ...], within: tuple[tuple[int, str, bool], ...], starts: bool, text: str, linked: bool):
+        self.path, self.within, self.apart, self.starts, self.text, self.linked = path, within, bool(within), starts, text, linked
 
 
 def _apart(tag: str, attributes: str, above: list) -> bool:
@@ -63,16 +67,17 @@ def _apart(tag: str, attributes: str, above: list) -> bool:
 def text_nodes(html: str) -> list[Node]:
     """The page's runs of text in order; one pass, whatever is left open or nested wrongly."""
     out: list[Node] = []
-    stack: list[tuple[str, bool]] = []  # (tag, whether it stands apart)
+    stack: list[tuple[str, tuple | None]] = []  # (tag, if it stands apart: (place, tag, whether it may hold the article))
     at, n, starts, no_comment_end = 0, len(html), True, False
     path: tuple[str, ...] | None = ()
+    within: tuple = ()
 
     def text(raw: str) -> None:
-        nonlocal starts, path
+        nonlocal starts, path, within
         if raw:
             if path is None:
-                path = tuple(t for t, _ in stack)
-            out.append(Node(path, any(a for _, a in stack), starts, unescape(raw) if "&" in raw else raw, "a" in path))
+                path, within = tuple(t for t, _ in stack), tuple(a for _, a in stack if a)
+            out.append(Node(path, within, starts, unescape(raw) if "&" in raw else raw, "a" in path))
             starts = False
 
     while at < n:
@@ -130,11 +135,40 @@ def text_nodes(html: str) -> list[Node]:
                     break
                 if stack[k][0] in SECTIONS:
                     break
-        stack.append((tag, _apart(tag, attributes, stack)))
+        apart = _apart(tag, attributes, stack)
+        stack.append((tag, (lt, tag, tag not in NEVER and not _HIDDEN.search(attributes)) if apart else None))
         path = None
     return out
 
 
+def admit(nodes: list[Node]) -> None:
+    """Takes back that an element stands apart if it holds most of the page's text and punctuation.
+
+    Links count less, as in the ratios. A form may hold the whole page; another
+    element counts only where no article stands outside.
+    """
+    text, marks, total, all_marks = defaultdict(float), defaultdict(int), 0.0, 0
+    for x in nodes:
+        if not all(may or tag in NEVER - {"head"} for _, tag, may in x.within):
+            continue  # of the head, or hidden
+        chars, n = len(x.text.strip()) * (0.2 if x.linked else 1.0), 0 if x.linked else sum(map(x.text.count, PUNCTUATION))
+        total, all_marks = total + chars, all_marks + n
+        for e in x.within[:8]:
+            text[e] += chars
+            marks[e] += n
+    for e in sorted(text):
+        if not e[2] or marks[e] * 2 <= all_marks or text[e] * 2 <= total:
+            continue
+        if e[1] != "form":
+            outside = [x for x in nodes if not x.apart and not x.linked and any(c in x.text for c in PUNCTUATION)]
+            if any(not HOLDS.isdisjoint(x.path) for x in outside) or sum(len(x.text) for x in outside if "p" in x.path) >= 80:
+                continue
+        for x in nodes:
+            if e in x.within:
+                x.within = tuple(y for y in x.within if y != e)
+                x.apart = bool(x.within)
+
+
 def _smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
     """Over neighbouring nodes, with a Gaussian of three on each side."""
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-3, 4)]
@@ -183,7 +217,8 @@ def content_paths(nodes: list[Node]) -> tuple[set[tuple[str, ...]], tuple[str, .
 
 def main_text(html: str | None) -> str:
     """The main text: blocks in order, white space as one space."""
-    nodes = [x for x in text_nodes(html or "")]
+    nodes = text_nodes(html or "")
+    admit(nodes)
     near = [x for x in nodes if not x.apart and x.text.strip()]
     chosen, holder = content_paths(near)
     whole = bool(holder) and holder[-1] not in ("html", "body")

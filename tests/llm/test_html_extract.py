@@ -48,3 +48,20 @@ def test_frame(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in extract(df).collect()), key=str)
     assert got == sorted([(1, BODY, len(BODY)), (None, "", 0), (1, "", 0)], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("holder", ['article class="post no-sidebar"', 'main class="has-comments"', 'div class="no-sidebar"', 'article id="related"', 'form action="./Default.aspx"', 'div class="widget"'])
+def test_names_of_what_holds_the_article(holder):
+    page = f'<html><body><nav><ul><li><a href="/">One, two, three. Four.</a></li></ul></nav><{holder}><nav>Home, and more.</nav><h1>Heading</h1><p>{BODY}</p><p>{BODY}</p><div class="comments"><p>I agree, with all.</p></div></{holder.split()[0]}><footer>All, rights.</footer></body></html>'
+    assert main_text(page) == f"Heading {BODY} {BODY}"
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion"><p>{}</p></section>', '<h2 id="related-work">{}</h2>', '<h2 id="search-algorithms">{}</h2>', '<p id="notice">{}</p>', '<div class="search-algorithms"><p>{}</p></div>', '<section id="related-work"><p>{}</p></section>'])
+def test_names_inside_the_article(part):
+    assert main_text(f"<html><body><article><h1>Heading</h1><p>{BODY}</p>{part.format('A part of it.')}<p>{BODY}</p></article></body></html>") == f"Heading {BODY} A part of it. {BODY}"
+
+
+def test_long_comments_stay_apart():
+    many = f'<div class="comments">{f"<article><p>{BODY}</p></article>" * 30}</div>'
+    for page in (f"<article><h1>Heading</h1><p>{BODY}</p></article>{many}", f"<form><div><h1>Heading</h1><p>{BODY}</p></div>{many}</form>"):
+        assert main_text(f"<html><body>{page}</body></html>") == f"Heading {BODY}"
