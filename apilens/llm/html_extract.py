@@ -4,7 +4,8 @@ Text length and punctuation are aggregated per root-to-leaf tag path of a page,
 as ratios to the number of its text nodes; both are smoothed over neighbouring
 nodes, fused, and thresholded. The paths selected this way vote for the element
 that holds the content; what stands in it, and not in an element that is no
-part of the article, is the text.
+part of the article, is the text. Where body itself is that element, it is what
+stands between the first and the last selected node, with the blocks next to them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ APART_NAMES = re.compile(
 # Not inside an article, where they may be what a part is about.
 OUTER_NAMES = re.compile(r"(?:(?:site|page|main|top|global|cookie|user|post)[-_])?(?:consent|discussion|login|notices?|related|search)(?:[-_](?:area|banner|bar|block|box|container|form|inner|items?|links?|list|panel|popup|posts?|section|widget|wrapper|wrap))*")
 HEADER_NAMES = re.compile(r"(?:^|[-_])header(?:$|[-_])")  # not inside an article
+# Blocks that, standing directly in body, continue an article.
+BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl table figure blockquote pre".split())
 HOLDS = frozenset({"main", "article"})
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -215,6 +218,30 @@ def content_paths(nodes: list[Node]) -> tuple[set[tuple[str, ...]], tuple[str, .
     return chosen, holder
 
 
+def _block(x: Node) -> str:
+    """The outermost element below body that the node stands in."""
+    return next((t for t in x.path if t not in ("html", "body")), "")
+
+
+def stretch(nodes: list[Node], chosen: set[tuple[str, ...]]) -> tuple[int, int]:
+    """Where the article stands directly in body: from its first chosen node to its last, and blocks of an article next to these."""
+    at = [i for i, x in enumerate(nodes) if not x.apart and x.text.strip() and x.path in chosen]
+    if not at:
+        return 0, 0
+    ends = []
+    for run in (range(at[0] - 1, -1, -1), range(at[-1] + 1, len(nodes))):
+        end = run.start - run.step
+        for i in run:
+            x = nodes[i]
+            if x.apart or not x.text.strip():
+                continue
+            if x.linked or _block(x) not in BLOCKS:
+                break
+            end = i
+        ends.append(end)
+    return ends[0], ends[1] + 1
+
+
 def main_text(html: str | None) -> str:
     """The main text: blocks in order, white space as one space."""
     nodes = text_nodes(html or "")
@@ -222,11 +249,12 @@ def main_text(html: str | None) -> str:
     near = [x for x in nodes if not x.apart and x.text.strip()]
     chosen, holder = content_paths(near)
     whole = bool(holder) and holder[-1] not in ("html", "body")
+    first, end = (0, 0) if whole else stretch(nodes, chosen)
     parts: list[str] = []
     pending = False
-    for x in nodes:
+    for i, x in enumerate(nodes):
         pending |= x.starts
-        if x.apart or not (x.path in chosen or (whole and x.path[: len(holder)] == holder)):
+        if x.apart or not (x.path in chosen or first <= i < end or (whole and x.path[: len(holder)] == holder)):
             pending = True
             continue
         parts.append((" " if pending else "") + x.text)

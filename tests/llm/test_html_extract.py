@@ -65,3 +65,17 @@ def test_long_comments_stay_apart():
     many = f'<div class="comments">{f"<article><p>{BODY}</p></article>" * 30}</div>'
     for page in (f"<article><h1>Heading</h1><p>{BODY}</p></article>{many}", f"<form><div><h1>Heading</h1><p>{BODY}</p></div>{many}</form>"):
         assert main_text(f"<html><body>{page}</body></html>") == f"Heading {BODY}"
+
+
+@pytest.mark.parametrize("part", [
+    "<ul>" + "<li>An item of a list</li>" * 8 + "</ul>", "<table>" + "<tr><td>One cell</td><td>42</td></tr>" * 4 + "</table>", "<figure><img><figcaption>A caption</figcaption></figure>",
+    "<h2>Next</h2>", '<p><a href="/x">A link</a></p>', "<div>A short box</div>", "<dl><dt>Term</dt><dd>Meaning</dd></dl>",
+])
+def test_articles_directly_in_body(part):
+    text = " ".join(re.sub("<[^>]*>", " ", part).split())
+    paragraphs = [f"<p>{BODY} {BODY} {i}.</p>" for i in range(6)]
+    for body in (["<h1>Heading</h1>", *paragraphs[:3], part, *paragraphs[3:]], ["<h1>Heading</h1>", *paragraphs, part if "div" not in part and "href" not in part else ""]):
+        page = f'<html><body><nav><a href="/">Home</a></nav>{"".join(body)}<nav><a href="/next">Next page</a></nav><footer>All, rights.</footer></body></html>'
+        want = " ".join(" ".join(re.sub("<[^>]*>", " ", b).split()) for b in body if b)
+        assert text and main_text(page) == want
+        assert main_text(page.replace("<html><body>", "").replace("</body></html>", "")) == want
