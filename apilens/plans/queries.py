@@ -321,15 +321,18 @@ e(src, dst) AS (SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineite
 """
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r(url) AS (SELECT 'o' || l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 50 UNION SELECT dst FROM r JOIN e ON r.url = e.src) SELECT 'all' AS site_id, url FROM r")
-def q37_crawl_closure(spark, d):
+def _edges(spark, d):
     item, s, n = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "nation")
     edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst")).distinct()
     t, c = C.text, F.col
     edges = edge(item, t("o", c("l_orderkey")), t("p", c("l_partkey"))).unionByName(edge(item, t("p", c("l_partkey")), t("s", c("l_suppkey"))))
-    edges = edges.unionByName(edge(s, t("s", c("s_suppkey")), t("n", c("s_nationkey")))).unionByName(edge(n, t("n", c("n_nationkey")), t("n", (c("n_nationkey") + 1) % 25)))
-    roots = item.filter("l_linenumber = 1 AND l_quantity >= 50").select(F.lit("all").alias("site_id"), t("o", c("l_orderkey")).alias("url"))
-    return crawl.closure(store.checkpointed(edges), roots).select("site_id", "url")
+    return edges.unionByName(edge(s, t("s", c("s_suppkey")), t("n", c("s_nationkey")))).unionByName(edge(n, t("n", c("n_nationkey")), t("n", (c("n_nationkey") + 1) % 25)))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(url) AS (SELECT 'o' || l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity >= 50 UNION SELECT dst FROM r JOIN e ON r.url = e.src) SELECT 'all' AS site_id, url FROM r")
+def q37_crawl_closure(spark, d):
+    roots = table(spark, d, "lineitem").filter("l_linenumber = 1 AND l_quantity >= 50").select(F.lit("all").alias("site_id"), C.text("o", F.col("l_orderkey")).alias("url"))
+    return crawl.closure(store.checkpointed(_edges(spark, d)), roots).select("site_id", "url")
 
 
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS site_id, CAST(4 AS BIGINT) AS discovered, CAST(1 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS unauthorized, false AS capped,
@@ -412,3 +415,26 @@ def q47_clean_path(spark, d):
 @query("SELECT kind, channel, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'route' AS kind, 'route_call' AS channel FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'route', 'literal' FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'api', 'api_call' FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1, 2")
 def q48_evidence_profile(spark, d):
     return _evidence(C.routers(spark, d)).groupBy("kind", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r(url) AS (SELECT 'o' || o_orderkey FROM orders UNION SELECT dst FROM r JOIN e ON r.url = e.src) SELECT 'all' AS site_id, url FROM r")
+def q49_crawl_closure_orders(spark, d):
+    """The closure from every order, with or without lines."""
+    roots = table(spark, d, "orders").select(F.lit("all").alias("site_id"), C.text("o", F.col("o_orderkey")).alias("url"))
+    return crawl.closure(store.checkpointed(_edges(spark, d)), roots).select("site_id", "url")
+
+
+@query("""WITH RECURSIVE own AS (SELECT p_partkey // 100 AS site, p_partkey, p_size FROM part), held AS (SELECT DISTINCT p_size AS s FROM part),
+  r(site, s) AS (SELECT site, p_size FROM own UNION SELECT site, CASE WHEN s >= 50 THEN 1 ELSE s + 1 END FROM r JOIN held USING (s)),
+  f AS (SELECT site, '/parts/item-' || p_partkey AS url, true AS found FROM own UNION ALL SELECT site, '/sizes/all-' || s, s IN (SELECT s FROM held) FROM r)
+  SELECT CAST(site AS VARCHAR) AS site_id, count(*) AS discovered, count(*) FILTER (NOT found) AS failed, CAST(0 AS BIGINT) AS unauthorized, false AS capped, string_agg(url, ',' ORDER BY url) FILTER (found) AS apis FROM f GROUP BY site""")
+def q50_crawl_chunks(spark, d):
+    """The crawl of the chunk store: a page per part, a site per hundred part keys, each with its own copy of the shared scripts."""
+    site = F.floor(F.col("p_partkey") / 100).cast("string")
+    pages = table(spark, d, "part").select(site.alias("site_id"), F.col("p_partkey"))
+    roots = pages.select("site_id", C.text("https://g.example/", F.col("p_partkey"), "/").alias("url"), C.text('<script src="/part-', F.col("p_partkey"), '.js"></script>').cast("binary").alias("body"))
+    chunks, leaf = C.chunk_store(spark, d), pages.select("site_id", C.text("https://g.example/part-", F.col("p_partkey"), ".js").alias("url"))
+    shared = pages.select("site_id").distinct().crossJoin(chunks.filter(F.col("url").contains("/size-")))
+    found = crawl.crawl(roots, chunks.join(leaf, "url").unionByName(shared))
+    apis = found.evidence.filter("kind = 'api'").groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_set("url")), ",").alias("apis"))
+    return found.stats.join(apis, "site_id").select("site_id", F.col("discovered").cast("long"), F.col("failed").cast("long"), F.col("unauthorized").cast("long"), "capped", "apis")

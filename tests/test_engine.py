@@ -160,3 +160,11 @@ def test_stream_like_batch(spark, tmp_path):
     batch = finalize.finalize(scan.evidence(scan.scan_documents(df.drop("fetched_at"))).drop("doc_url"), ["site_id"])
     pick = lambda d: sorted((r.url, r.kind, r.channel) for r in d.collect())
     assert pick(ingest.current(raw)) == pick(batch)
+
+
+def test_crawls_over_whole_tables(spark, sf):
+    orders, parts = spark.read.parquet(f"{sf}/orders.parquet"), spark.read.parquet(f"{sf}/part.parquet")
+    reached = {r.url for r in queries.QUERIES["q49_crawl_closure_orders"](spark, sf).collect()}
+    assert {u for u in reached if u[0] == "o"} == {f"o{r.o_orderkey}" for r in orders.collect()}
+    sites = queries.QUERIES["q50_crawl_chunks"](spark, sf).collect()
+    assert sorted(a for r in sites for a in r.apis.split(",") if a.startswith("/parts/")) == sorted(f"/parts/item-{r.p_partkey}" for r in parts.collect())
