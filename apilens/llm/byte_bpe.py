@@ -29,8 +29,8 @@ from apilens.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NEVER = 1 << 60
-PAIR_MEMO = 1 << 20
-PIECE_MEMO = 1 << 19
+PAIR_MEMO = 1 << 17  # pairs that a worker remembers: about 20 MB
+PIECE_MEMO = 1 << 16  # pieces of each of two generations: about 25 MB
 PIECE_MEMO_CHARS = 64
 
 
@@ -63,6 +63,7 @@ class ByteBPE:
         self.size = [len(b) for b in self.token_bytes]
         self.follows: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Tokens that merging never forms from their own bytes can only be whole pieces.
         formed, self.parts = {}, {}
         for b, i in ranks.items():
@@ -148,15 +149,16 @@ class ByteBPE:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        found = struct.pack(f"<{len(ids := self.piece_ids(piece.encode()))}I", *ids)
-        if len(piece) <= PIECE_MEMO_CHARS:
-            if len(self.pieces) >= PIECE_MEMO:
-                self.pieces.clear()
+        if (found := self.older.get(piece)) is None:
+            found = struct.pack(f"<{len(ids := self.piece_ids(piece.encode()))}I", *ids)
+        if len(piece) <= PIECE_MEMO_CHARS and len(self.pieces) < 2 * PIECE_MEMO:
             self.pieces[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        if len(self.pieces) >= PIECE_MEMO:  # what is in use comes back from the older generation
+            self.older, self.pieces = self.pieces, {}
         get, slow = self.pieces.get, self._piece
         pattern = self.plane if text.isascii() or max(text) <= "\uffff" else self.pattern
         return b"".join([get(p) or slow(p) for p in pattern.findall(text)])
@@ -178,7 +180,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     ``vocabulary`` names a file of public_tokenizers or is a path that every
     executor can open. Each match of the pattern is encoded separately, without
     special tokens. Null texts count as empty: no ids, and the digests of
-    nothing. Ids of rows may be null or repeated; the rows stay apart. Other
+    nothing; very long texts are read whole. Ids of rows may be null or
+    repeated; the rows stay apart. An empty table gives an empty result. Other
     columns aren't read.
     """
     pattern = pattern or public_tokenizers.PATTERN

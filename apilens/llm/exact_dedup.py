@@ -1,15 +1,16 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
 Every normalised text is cut into blocks of a fixed number of characters. The
-distinct blocks are sorted and get integer names; then adjacent names are
-paired, the distinct pairs sorted and named, and so on, until each document has
-one name. Equal (number of blocks, name) means equal text: names stand for
+distinct blocks are sorted (by their hashes) and get integer names; then
+adjacent names are paired, the distinct pairs sorted and named, and so on, until
+each document has one name. Equal (number of blocks, name) means equal text: names stand for
 contents, so there are no collisions.
 
 The text is shuffled once, for the distinct blocks (map-side combined, so that
 a block found in a third of all rows arrives once per map task). Occurrences
 look their names up by the block's 64-bit hash; should two different blocks
-share a hash, those alone are looked up by content.
+share a hash, those alone are looked up by content. Names that very many rows
+share are broadcast, so that no task gathers them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from apilens.llm.common import table, written
+from apilens.llm.common import addressed, discard, hot_join, hot_over, marked, numbered, table, written
 
 BLOCK_CHARS = 4096
 
@@ -35,28 +36,34 @@ def _blocks(norm: str, chars: int) -> Column:
     return F.when(F.col(norm) == "", F.array(F.lit(""))).otherwise(cut)
 
 
+def column_of(name: str) -> Column:
+    """A column of the caller's row."""
+    return F.col("row")[name]
+
+
 def _block_hash(block: Column) -> Column:
     return F.xxhash64(block)
 
 
-def _first_names(blocks: DataFrame, block_hash) -> DataFrame:
-    """(h, name) of the distinct blocks."""
-    distinct = blocks.select(F.explode("blocks").alias("block")).distinct()
-    named = distinct.sortWithinPartitions("block").select(block_hash(F.col("block")).alias("h"), F.monotonically_increasing_id().alias("name"))
-    return written(named, "block-names")
+def _first_names(blocks: DataFrame, block_hash) -> tuple[DataFrame, int]:
+    """(h, c, name) of the distinct blocks, sorted by hash, with the number of times each is found, and the sum of these."""
+    found = blocks.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("c"))
+    names, _ = numbered(found.select(block_hash(F.col("block")).alias("h"), "c"), ["h"], "name", "block-names")
+    return names, names.agg(F.sum("c")).first()[0] or 0
 
 
-def _by_hash(found: DataFrame, names: DataFrame, clash: DataFrame | None, blocks: DataFrame, block_hash) -> DataFrame:
+def _by_hash(found: DataFrame, names: DataFrame, clash: DataFrame | None, blocks: DataFrame, block_hash, hot: int) -> DataFrame:
     """(rid, pos, h) with names; blocks in ``clash``, whose hash others share, are looked up by content."""
-    if clash is None:
-        return found.join(names, "h").select("rid", "pos", "name")
-    order = Window.partitionBy("h")
-    again = blocks.select("rid", F.posexplode("blocks").alias("pos", "block")).withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi")
-    by_text = again.select("h", "block").distinct().withColumn("nth", F.row_number().over(order.orderBy("block")))
-    by_name = names.join(clash, "h", "left_semi").withColumn("nth", F.row_number().over(order.orderBy("name")))
-    exact = by_text.join(by_name, ["h", "nth"]).select("h", "block", "name")
-    plain = found.join(names.join(clash, "h", "left_anti"), "h").select("rid", "pos", "name")
-    return plain.unionByName(again.join(exact, ["h", "block"]).select("rid", "pos", "name"))
+    if clash is not None:
+        order = Window.partitionBy("h")
+        again = blocks.select("rid", F.posexplode("blocks").alias("pos", "block")).withColumn("h", block_hash(F.col("block"))).join(clash, "h", "left_semi")
+        by_text = again.select("h", "block").distinct().withColumn("nth", F.row_number().over(order.orderBy("block")))
+        by_name = names.join(clash, "h", "left_semi").withColumn("nth", F.row_number().over(order.orderBy("name")))
+        exact = by_text.join(by_name, ["h", "nth"]).select("h", "block", "name")
+        names = names.join(clash, "h", "left_anti")
+        clashing = again.join(exact, ["h", "block"]).select("rid", "pos", "name")
+    plain = hot_join(found, names, names.filter(F.col("c") > hot), ["h"]).select("rid", "pos", "name")
+    return plain if clash is None else plain.unionByName(clashing)
 
 
 def _pair_names(names: Column) -> Column:
@@ -71,36 +78,44 @@ def _gathered(found: DataFrame) -> DataFrame:
     return found.groupBy("rid").agg(F.transform(in_order, lambda x: x["name"]).alias("names"))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, block_hash=_block_hash) -> DataFrame:
-    """One row per row of ``docs``: rid, doc_id, text_sha256, n_blocks, name.
+def identities(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, block_hash=_block_hash) -> DataFrame:
+    """One row per row of ``rows`` (``row`` and ``at``, see ``addressed``): rid (at), doc_id, text_sha256, n_blocks, name.
 
-    ``rid`` numbers the rows as they are read. (n_blocks, name) is equal for
-    equal normalised texts and for no others.
+    (n_blocks, name) is equal for equal normalised texts and for no others.
+    Names count the sorted distinct blocks, then the sorted distinct pairs, so
+    they depend on the texts alone, however these are dealt out.
     """
-    norm = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
-    norm = norm.withColumn("rid", F.monotonically_increasing_id())
+    norm = rows.select(F.col("at").alias("rid"), column_of(id_col).alias("doc_id"), normalised(column_of(text_col)).alias("norm"))
     blocks = norm.withColumn("blocks", _blocks("norm", block_chars))
-    names = _first_names(blocks, block_hash)
+    names, total = _first_names(blocks, block_hash)
     clash = written(names.groupBy("h").count().filter("count > 1").select("h"), "block-clashes")
-    if clash.isEmpty():
-        clash = None
-    else:
-        blocks = written(blocks.select("rid", "doc_id", "norm", "blocks"), "blocks")  # read twice below: rows must keep their numbers
-    rows = written(
+    docs = written(
         blocks.select("rid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.size("blocks").alias("n_blocks"), F.transform("blocks", block_hash).alias("hashes")),
         "block-rows",
     )
-    found = rows.select("rid", F.posexplode("hashes").alias("pos", "h"))
-    level = written(_gathered(_by_hash(found, names, clash, blocks, block_hash)), "names-0")
-    done = level.filter(F.size("names") == 1)
-    k, left = 0, rows.agg(F.max("n_blocks")).first()[0] or 0
+    found = docs.select("rid", F.posexplode("hashes").alias("pos", "h"))
+    level = written(_gathered(_by_hash(found, names, None if clash.isEmpty() else clash, blocks, block_hash, hot_over(total))), "names-0")
+    discard(names, clash)
+    used, done = [level], level.filter(F.size("names") == 1)
+    left = docs.agg(F.max("n_blocks")).first()[0] or 0
     while left > 1:
-        k, left = k + 1, (left + 1) // 2
+        left = (left + 1) // 2
         pairs = level.filter(F.size("names") > 1).select("rid", F.posexplode(_pair_names(F.col("names"))).alias("pos", "pair")).select("rid", "pos", "pair.a", "pair.b")
-        named = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id())
-        level = written(_gathered(pairs.join(named, ["a", "b"]).select("rid", "pos", "name")), f"names-{k}")
+        named, _ = numbered(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"], "name", "pair-names")
+        level = written(_gathered(hot_join(pairs, named, named.filter(F.col("c") > hot_over(total)), ["a", "b"]).select("rid", "pos", "name")), f"names-{left}")
+        used += [named, level]
         done = done.unionByName(level.filter(F.size("names") == 1))
-    return rows.drop("hashes").join(done.select("rid", F.col("names")[0].alias("name")), "rid")
+    out = written(docs.drop("hashes").join(done.select("rid", F.col("names")[0].alias("name")), "rid"), "identities")
+    discard(docs, *used)
+    return out
+
+
+def _grouped(rows: DataFrame, id_col: str, text_col: str, block_chars: int, block_hash) -> DataFrame:
+    """Every row's identity with its group's size and first row (null ids last; of equal ids the first as read)."""
+    ids = identities(rows, id_col, text_col, block_chars, block_hash)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("at")))
+    groups = written(ids.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).cast("long").alias("group_size")), "groups")
+    return hot_join(ids, groups, groups.filter(F.col("group_size") > hot_over(ids.count())), ["n_blocks", "name"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, block_hash=_block_hash) -> DataFrame:
@@ -108,33 +123,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are identical after replacing each run of ASCII
     white space by one space. Of equal texts the row with the smallest id
-    stays. Null texts count as empty and are equal to empty ones. A null id
-    comes after all others, so its row stays only where the group has no other;
-    keep_id is then null. Where a row is repeated with the same id, exactly one
-    of the repeats stays. An empty table gives an empty result; other columns of
-    ``docs``, whatever their names, aren't read.
+    stays. Null texts count as empty and are equal to empty ones; very long
+    texts are read whole, as many blocks as they have. A null id comes after all
+    others, so its row stays only where the group has no other; keep_id is then
+    null. Where a row is repeated with the same id, exactly one of the repeats
+    stays. An empty table gives an empty result; other columns of ``docs``,
+    whatever their names, aren't read.
     """
-    ids = written(identities(docs, id_col, text_col, block_chars, block_hash), "identities")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("at")))
-    groups = ids.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["n_blocks", "name"]).select(
-        "doc_id",
-        F.col("first.id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        (F.col("rid") == F.col("first.at")).alias("kept"),
-        "text_sha256",
-    )
+    found = _grouped(addressed(docs), id_col, text_col, block_chars, block_hash)
+    return found.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.at")).alias("kept"), "text_sha256")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, block_hash=_block_hash) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns unchanged, whatever their names: one of each group, by row.
 
-    Rows that share both id and normalised text are one row's repeats; one of them stays.
+    Nulls, ties, repeats and very long texts are as in ``exact_dedup``: of rows
+    that share id and text one stays; rows of one id with different texts all
+    stay. An empty table gives an empty result.
     """
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    same = (F.col(id_col).eqNullSafe(F.col("_stay_id"))) & (F.col("_sha") == F.col("_stay_sha"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    rows = addressed(docs)
+    gone = _grouped(rows, id_col, text_col, block_chars, block_hash).filter(F.col("rid") != F.col("first.at")).select(F.col("rid").alias("at"))
+    return marked(rows, gone, keep=False).select("row.*")
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -8,45 +8,32 @@ its deadline, so that after any number of slots each source is less than one
 block away from its share. A phase ends with the slot in which a source gives
 its last block; the others go on with their weights, so that no row is lost.
 
-Weights are kept as the exact fractions the caller gives, in whole numbers
-without a common divisor, so a phase's schedule repeats after as many slots as
-these add up to. One such period, or the phase where that is shorter, is planned
-on the driver: one step for each of its slots, so weights of many digits cost up
-to one step for each block of rows. Rows find their places by DataFrame
-expressions alone.
+Weights are kept as the exact fractions the caller gives. The blocks are
+planned on the driver: at most MAX_BLOCKS of them and MAX_SOURCES sources,
+whatever the number of rows, as blocks grow with it. Rows find their places by
+DataFrame expressions; only their numbers are ordered, then each whole row is
+joined to its place.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from dataclasses import dataclass
 from fractions import Fraction
-from math import gcd, lcm
+from math import gcd, isqrt, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apilens.llm.common import numbered, table
+from apilens.llm.common import addressed, numbered, table
 
-BLOCK_ROWS = 16
-PERIOD = 1000  # of whole_weights
-REPEATED = 10_000  # periods of up to so many slots are planned once and repeated
-PIECE_BLOCKS = 1024  # the slots of longer ones are listed in pieces of so many blocks
+BLOCK_ROWS = 16  # rows of a block, at least
+MAX_BLOCKS = 1 << 18  # more rows than these blocks hold make larger blocks
+MAX_SOURCES = 1000
+PIECE_BLOCKS = 1024  # the plan is looked up in pieces of so many blocks of a source
 LAST = 2**63 - 1  # a later deadline is given as this
 SEED = 7
-BROADCAST_SOURCES = 200  # up to here the plan (at most sources^2 rows, sources * REPEATED slots) is broadcast
-
-
-def whole_weights(weights: list[float], period: int = PERIOD) -> list[int]:
-    """Whole numbers, one at least, near the weights' shares of a period (largest remainders); ``plan`` doesn't round."""
-    period = max(period, 4 * len(weights))
-    shares = [w * period / sum(weights) for w in weights]
-    out = [max(1, int(s)) for s in shares]
-    for i in sorted(range(len(out)), key=lambda i: (int(shares[i]) - shares[i], i))[: max(0, period - sum(out))]:
-        out[i] += 1
-    return out
+PLACES = ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
 def exact(weight) -> Fraction:
@@ -61,169 +48,128 @@ def reduced(weights: list[Fraction]) -> list[int]:
     return [p // gcd(*parts) for p in parts]
 
 
-def period_slots(parts: list[int], left: list[int] | None = None) -> list[list[int]]:
-    """The slots of each source: earliest deadline first among the released blocks.
-
-    Of one period, or up to the slot in which a source gives the last of the
-    blocks it has ``left``.
-    """
-    total, out = sum(parts), [[] for _ in parts]
+def phase_slots(parts: list[int], left: list[int]) -> list[list[tuple[int, int, int]]]:
+    """(release, deadline, slot) of each source's blocks: earliest deadline first among the released ones,
+    up to the slot in which a source gives the last of the blocks it has ``left``."""
+    total, out, slot = sum(parts), [[] for _ in parts], 0
     waiting, ready = [(0, i) for i in range(len(parts))], []  # by release; by deadline
-    for slot in range(total):
+    while True:
         while waiting and waiting[0][0] <= slot:
-            i = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // parts[i]), i))
-        i = heapq.heappop(ready)[1]
-        out[i].append(slot)
-        if left and len(out[i]) == left[i]:
-            break
-        if len(out[i]) < parts[i]:
-            heapq.heappush(waiting, (len(out[i]) * total // parts[i], i))
-    return out
-
-
-@dataclass(frozen=True)
-class Share:
-    """What one source gets in one phase."""
-
-    source: int
-    phase: int
-    first_block: int
-    blocks: int
-    first_slot: int  # of the phase
-    period: int
-    slots: tuple[int, ...]  # the source's, in a period; of a long one, those of the phase
-    missing: int  # rows that blocks of earlier phases lack
-    parts: int  # blocks in a period
+            release, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // parts[i]), i, release))
+        deadline, i, release = heapq.heappop(ready)
+        out[i].append((release, deadline, slot))
+        if len(out[i]) == left[i]:
+            return out
+        heapq.heappush(waiting, (len(out[i]) * total // parts[i], i))
+        slot += 1
 
-    def slot(self, j: int) -> int:
-        return self.first_slot + j // self.parts * self.period + self.slots[j % self.parts]
 
-    def window(self, j: int) -> tuple[int, int]:
-        return self.first_slot + j * self.period // self.parts, self.first_slot - (-(j + 1) * self.period // self.parts)
+def plan(sizes: list[int], weights: list, block_rows: int = BLOCK_ROWS) -> list[list[tuple[int, int, int, int, int]]]:
+    """Per source, per block: phase, release, deadline, slot, and the rows that blocks before the slot lack.
 
-
-def plan(sizes: list[int], weights: list[float | Fraction], block_rows: int = BLOCK_ROWS) -> list[Share]:
-    """The shares of all phases. Sources of no weight come after all others, in equal shares."""
+    Sources of no weight come after all others, in equal shares.
+    """
     left = [-(-n // block_rows) for n in sizes]
-    done, out, slot, missing, phase = [0] * len(sizes), [], 0, 0, 0
     asked = {i: exact(w) for i, w in enumerate(weights) if w > 0}
+    out, start, missing, phase = [[] for _ in sizes], 0, 0, 0
     while any(left):
         live = [i for i in range(len(sizes)) if left[i] and i in asked] or [i for i in range(len(sizes)) if left[i]]
-        held = reduced([asked.get(i, Fraction(1)) for i in live])
-        period = sum(held)
-        slots = period_slots(held, None if period <= REPEATED else [left[i] for i in live])
-        ends = [((left[i] - 1) // a) * period + s[(left[i] - 1) % a] + 1 if len(s) > (left[i] - 1) % a else None for i, a, s in zip(live, held, slots, strict=True)]
-        length = min(x for x in ends if x is not None)
-        last = live[ends.index(length)]
-        for i, a, s in zip(live, held, slots, strict=True):
-            n = (length // period) * a + sum(x < length % period for x in s)
-            if n:
-                out.append(Share(i, phase, done[i], n, slot, period, tuple(s), missing, a))
-                left[i] -= n
-                done[i] += n
-        missing += -sizes[last] % block_rows
-        slot, phase = slot + length, phase + 1
+        slots = phase_slots(reduced([asked.get(i, Fraction(1)) for i in live]), [left[i] for i in live])
+        for i, own in zip(live, slots, strict=True):
+            out[i] += [(phase, start + r, start + d, start + s, missing) for r, d, s in own]
+            left[i] -= len(own)
+            if own and not left[i]:
+                ended = i
+        missing += -sizes[ended] % block_rows
+        start, phase = start + sum(map(len, slots)), phase + 1
     return out
 
 
-_SCHEMA = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()),
-    T.StructField("_slot0", T.LongType()), T.StructField("_period", T.LongType()), T.StructField("_slots", T.ArrayType(T.LongType())), T.StructField("_missing", T.LongType()),
-])
-_LISTED = T.StructType([
-    T.StructField("_source", T.StringType()), T.StructField("_first", T.LongType()), T.StructField("_phase", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_piece", T.LongType()),
-    *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("_releases", "_deadlines", "_slots")], T.StructField("_missing", T.LongType()),
-])
-
-
-def _pieces(x: Share) -> list[tuple[int, int, int, list[int], list[int], list[int]]]:
-    """A long share, cut where a multiple of PIECE_BLOCKS of the source's blocks ends: from, to, piece, releases, deadlines, slots."""
-    out, at, end = [], x.first_block, x.first_block + x.blocks
-    while at < end:
-        to = min(end, (at // PIECE_BLOCKS + 1) * PIECE_BLOCKS)
-        own = range(at - x.first_block, to - x.first_block)
-        windows = [x.window(j) for j in own]
-        out.append((at, to, at // PIECE_BLOCKS, [min(r, LAST) for r, _ in windows], [min(d, LAST) for _, d in windows], [x.slot(j) for j in own]))
-        at = to
-    return out
+_ARRAYS = ("phases", "releases", "deadlines", "slots", "missing")
+_PIECES = T.StructType([T.StructField("of", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("begin", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in _ARRAYS]])
+
+
+def _source_rows(counts: DataFrame) -> list[tuple[str | None, int]]:
+    """(source, rows), the null source first; an error beyond MAX_SOURCES."""
+    found = counts.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    return sorted(map(tuple, found), key=lambda x: (x[0] is not None, x[0] or ""))
+
+
+def tempered_weights(docs: DataFrame, source_col: str = "source", emphasis: tuple[int, ...] = (1, 2, 3, 4)) -> dict[str | None, int]:
+    """Target weights by rule: the whole square root of a source's rows, so that large sources give relatively less,
+    times the ``emphasis`` that sources get in turn, in the order of their names (null first)."""
+    counts = _source_rows(docs.groupBy(F.col(source_col).cast("string").alias("s")).count())
+    return {s: isqrt(n) * emphasis[k % len(emphasis)] for k, (s, n) in enumerate(counts)}
+
+
+def _placed(rows: DataFrame, weights: dict | None, block_rows: int, seed: int, id_col: str, source_col: str) -> tuple[DataFrame, int]:
+    """(at, PLACES) of all ``rows`` (``row`` and ``at``), and their number."""
+    spark, row = rows.sparkSession, F.col("row")
+    drawn = F.xxhash64(F.lit(seed), row[id_col].cast("string"))
+    keys = rows.select(row[source_col].cast("string").alias("source"), drawn.alias("drawn"), "at")
+    keys, total = numbered(keys, ["source", "drawn", "at"], "rank", "mix-rows")
+    counts = _source_rows(keys.groupBy("source").count())
+    size = max(block_rows, -(-total // MAX_BLOCKS))
+    pieces, begin = [], 0
+    places = plan([n for _, n in counts], [1 if weights is None else weights.get(s, 0) for s, _ in counts], size)
+    for (s, n), blocks in zip(counts, places, strict=True):
+        for k in range(0, len(blocks), PIECE_BLOCKS):
+            pieces.append((s, k // PIECE_BLOCKS, begin, *([min(x, LAST) for x in c] for c in zip(*blocks[k : k + PIECE_BLOCKS], strict=True))))
+        begin += n
+    begins = spark.createDataFrame([p[:1] + p[2:3] for p in pieces if p[1] == 0], "of string, begin long")
+    own = keys.join(F.broadcast(begins), F.col("source").eqNullSafe(F.col("of"))).select("source", "at", (F.col("rank") - F.col("begin")).alias("rank"))
+    own = own.withColumn("block", F.expr(f"rank div {size}"))
+    listed = F.broadcast(spark.createDataFrame(pieces, _PIECES).drop("begin"))
+    found = own.join(listed, F.col("source").eqNullSafe(F.col("of")) & (F.expr(f"block div {PIECE_BLOCKS}") == F.col("piece")))
+    of = lambda name: F.element_at(name, (F.col("block") % PIECE_BLOCKS + 1).cast("int"))
+    position = of("slots") * size - of("missing") + F.col("rank") % size
+    values = (of("phases"), F.col("block"), of("releases"), of("deadlines"), of("slots"), position)
+    return found.select("at", *[v.cast("long").alias(c) for c, v in zip(PLACES, values, strict=True)]), total
+
+
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """row, mix_phase, mix_block, mix_release, mix_deadline, mix_slot, mix_position; one row per input row.
+
+    ``row`` is the whole input row as a struct, whatever its columns' names;
+    ``mix_position`` its place in the mixed order, gapless from 0. Rows of a
+    source are dealt to its blocks in an order drawn by ``seed``. Without
+    ``weights`` all sources weigh the same; a source that has none, or 0, comes
+    after all weighted ones. Weights are numbers of any size; a float counts as
+    its shortest decimal form, and fractions are exact. A null source is a
+    source of its own. Rows with null, equal or repeated ids are ordered by
+    their place in ``docs``; texts may be null, empty or very long. An empty
+    table gives an empty result. Nothing is dropped when a source ends; the
+    phase tells which rows follow the full target. More than MAX_SOURCES
+    sources are an error.
+    """
+    rows = addressed(docs)
+    return rows.join(_placed(rows, weights, block_rows, seed, id_col, source_col)[0], "at").drop("at")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float | Fraction] | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows and columns of ``docs`` with mix_phase, mix_block, mix_release, mix_deadline, mix_slot, mix_position.
+def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` laid out in the mixed order, partition by partition; columns unchanged, edge cases as in ``mix``."""
+    rows = addressed(docs)
+    places, total = _placed(rows, weights, block_rows, seed, id_col, source_col)
+    return _in_order(rows.join(places, "at"), total).select("row.*")
 
-    ``mix_position`` is the row's place in the mixed order, gapless from 0.
-    Rows of a source are dealt to its blocks in an order drawn by ``seed``.
-    Without ``weights`` all sources weigh the same; a source that has none, or 0,
-    comes after all weighted ones. Weights are numbers of any size; a float
-    counts as its shortest decimal form, and fractions are exact. A null source is a source of its own. Null
-    and repeated ids are ordered like others, ties broken arbitrarily among
-    equal ids. An empty table gives an empty result. Nothing is dropped when a
-    source ends; the phase tells which rows follow the full target.
-    """
-    spark, columns = docs.sparkSession, docs.columns
-    if clash := {"mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position"} & set(columns):
-        docs, columns = docs.drop(*clash), [c for c in columns if c not in clash]
-    keyed = docs.withColumn("_drawn", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    rows, total = numbered(keyed, [source_col, "_drawn", id_col], "_row", "mix-rows")
-    counts = rows.groupBy(F.col(source_col).alias("s")).count().collect()
-    counts = sorted(((r.s, r["count"]) for r in counts), key=lambda x: (x[0] is not None, x[0] or ""))
-    starts, at = [], 0
-    for _, n in counts:
-        starts.append(at)
-        at += n
-    asked = [1 if weights is None else weights.get(s, 0) for s, _ in counts]
-    shares = plan([n for _, n in counts], asked, block_rows)
-    short = [(counts[x.source][0], starts[x.source], x.phase, x.first_block, x.first_block + x.blocks, x.first_slot, x.period, list(x.slots), x.missing) for x in shares if x.period <= REPEATED]
-    long = [(counts[x.source][0], starts[x.source], x.phase, *piece, x.missing) for x in shares if x.period > REPEATED for piece in _pieces(x)]
-    begins = spark.createDataFrame([(s, at) for (s, _), at in zip(counts, starts, strict=True)], "_source string, _first long")
-    out, names = [], [F.col(f"`{c}`") for c in columns]
-    if short or not long:
-        repeated = spark.createDataFrame(short, _SCHEMA)
-        if len(counts) <= BROADCAST_SOURCES:
-            repeated = F.broadcast(repeated)
-        block = F.expr(f"(_row - _first) div {block_rows}")
-        found = rows.join(repeated, F.col(source_col).eqNullSafe(F.col("_source")) & (block >= F.col("_from")) & (block < F.col("_to")))
-        found = found.withColumn("_block", block).withColumn("_own", F.col("_block") - F.col("_from")).withColumn("_parts", F.size("_slots").cast("long"))
-        slot = F.col("_slot0") + F.expr("_own div _parts") * F.col("_period") + F.element_at("_slots", (F.col("_own") % F.col("_parts") + 1).cast("int"))
-        release, deadline = F.col("_slot0") + F.expr("_own * _period div _parts"), F.col("_slot0") + F.expr("((_own + 1) * _period + _parts - 1) div _parts")
-        out.append(found.withColumns({"mix_phase": F.col("_phase"), "mix_block": F.col("_block"), "mix_release": release, "mix_deadline": deadline, "mix_slot": slot}))
-    if long:
-        own = rows.join(F.broadcast(begins.withColumnsRenamed({"_source": "_s", "_first": "_begin"})), F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_block", F.expr(f"(_row - _begin) div {block_rows}")).withColumn("_of", F.expr(f"_block div {PIECE_BLOCKS}"))
-        found = own.join(spark.createDataFrame(long, _LISTED), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_of") == F.col("_piece")) & (F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
-        at = (F.col("_block") - F.col("_from") + 1).cast("int")
-        out.append(found.withColumns({"mix_phase": F.col("_phase"), "mix_block": F.col("_block"), "mix_release": F.element_at("_releases", at), "mix_deadline": F.element_at("_deadlines", at), "mix_slot": F.element_at("_slots", at)}))
-    position = F.col("mix_slot") * block_rows - F.col("_missing") + (F.col("_row") - F.col("_first")) % block_rows
-    placed = [x.withColumn("mix_position", position).select(*names, *[F.col(c).cast("long").alias(c) for c in ("mix_phase", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")]) for x in out]
-    return placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
-
-
-def mixed(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` laid out in the mixed order, columns unchanged."""
-    placed = mix(docs, **kw)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])
 
+def _in_order(rows: DataFrame, total: int) -> DataFrame:
+    """Rows dealt to partitions of equal size by position, as gapless positions allow without sampling, and sorted in them."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, -(-total // n))
+    return rows.repartitionById(n, F.expr(f"mix_position div {each}").cast("int")).sortWithinPartitions("mix_position")
 
-def laid_out(docs: DataFrame) -> DataFrame:
-    """The rows that ``mixed`` laid out, read back from Parquet, with mix_position, gapless from 0.
 
-    The place follows from the number of the part file and the row's index in
-    it; only the number of rows of each file meets on the driver. ``docs`` must
-    be a table as it was read: other DataFrames have no ``_metadata``.
-    """
-    path = F.col("_metadata.file_path")
-    counts = docs.select(path.alias("f")).groupBy("f").count().collect()
-    files = sorted((int(re.search(r"part-(\d+)", r.f)[1]), r.f, r["count"]) for r in counts)
-    starts, at = [], 0
-    for _, f, n in files:
-        starts.append((f, at))
-        at += n
-    offsets = docs.sparkSession.createDataFrame(starts, "_file string, _start long")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "mix_position"]
-    rows = docs.select(*columns, path.alias("_path"), F.col("_metadata.row_index").alias("_index"))
-    return rows.join(F.broadcast(offsets), F.col("_path") == F.col("_file")).select(*columns, (F.col("_start") + F.col("_index")).alias("mix_position"))
+def laid_out(docs: DataFrame) -> DataFrame:
+    """(row, mix_position) of what ``mixed`` laid out, read back from its files: the place follows from file and row."""
+    return addressed(docs).withColumnRenamed("at", "mix_position")
 
 
 def op2_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """All documents, whole, laid out to tempered target weights."""
+    rows = addressed(docs := table(spark, sf_dir, "documents"))
+    places, total = _placed(rows, tempered_weights(docs), BLOCK_ROWS, SEED, "doc_id", "source")
+    return _in_order(rows.join(places, "at"), total).select("row.*", *PLACES)

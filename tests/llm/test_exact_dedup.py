@@ -55,6 +55,36 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted((r.doc_id, r.kept) for r in exact_dedup(odd).collect()) == [(1, True), (2, False)]
 
 
+def test_hot_blocks_and_very_long_texts(spark, monkeypatch):
+    from apilens.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    check(spark, block_chars=4)
+    long = "one two  three\n" * 100_000
+    got = exact_dedup(spark.createDataFrame([(1, long), (2, long.replace("\n", " ")), (3, long + "!")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+def test_names_do_not_depend_on_how_rows_are_dealt_out(spark):
+    from apilens.llm.common import addressed
+    from apilens.llm.exact_dedup import identities
+
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    one, two = ({(r.text_sha256, r.n_blocks, r.name) for r in identities(addressed(df.repartition(n)), block_chars=4).collect()} for n in (1, 5))
+    assert one == two
+
+
+def test_marked_rows(spark, monkeypatch):
+    from apilens.llm import common
+
+    rows = spark.range(200_000).select(F.struct("id").alias("row"), F.col("id").alias("at"))
+    ids = spark.createDataFrame([(0,), (1,), (7,), (8,), (32767,), (32768,), (32769,), (199_999,), (7,), (500_000,)], "at long")
+    for bound in (common.MARKED, 0):
+        monkeypatch.setattr(common, "MARKED", bound)
+        assert sorted(r["at"] for r in common.marked(rows, ids).collect()) == [0, 1, 7, 8, 32767, 32768, 32769, 199_999]
+        assert common.marked(rows, ids, keep=False).count() == 200_000 - 8
+
+
 def test_deduplicated_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a", "s"), (2, "a", "s"), (3, None, "t"), (4, "", "t"), (5, "q", "s"), (5, "q", "s")], "doc_id long, text string, source string")
     got = deduplicated(df)

@@ -37,6 +37,35 @@ def test_against_brute_force(spark):
         assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_hot_lists_cells_and_collisions(spark, monkeypatch):
+    """With few tokens, small cells and hot keys everywhere, and no leaders but the first, the result stays the same."""
+    from apilens.llm import common
+
+    rows = made(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(J, "CELL", 3)
+    got = J.ngram_components(df, rounds=1)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_clash_counts_shingles_that_share_a_token(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = spark.createDataFrame([(4, text)], "at long, text string")
+    low = len(np.unique(J.shingles(text).astype(np.uint32)))
+    for buckets in (1, 7):
+        got = [r for r in J._postings(rows, np.zeros(0, np.uint64), 0, 75, buckets).collect() if r.node is not None]
+        assert [(r.node, r.n) for r in got] == [(4, 396)] and 0 <= got[0].clash <= 396 - low + 396
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    long = " ".join(r.choice("abcdefghijkl") * r.randint(1, 9) for _ in range(120_000))
+    rows = [(1, long), (2, long + " and more"), (3, "short text that is not like it at all")]
+    got = J.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert J.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f", 1, "t"), (2, "A b c d e f", 2, "u")], "doc_id long, text string, n int, token string")

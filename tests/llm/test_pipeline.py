@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from apilens.llm import quality_rules as R
 from apilens.llm.byte_bpe import VOCABULARY, tokenizer
-from apilens.llm.mixing import mix
+from apilens.llm.mixing import mix, tempered_weights
 from tests_ngram import brute
 
 
@@ -38,7 +38,7 @@ def test_each_stage_returns_the_columns_of_documents(spark):
 def test_mixing_decides_the_order_of_the_result(spark, tmp_path):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    want = {r.doc_id: r.mix_position for r in mix(docs).collect()}
+    want = {r.row.doc_id: r.mix_position for r in mix(docs, tempered_weights(docs)).collect()}
     corpus_pipeline.mixing(spark, docs, d).write.parquet(str(tmp_path / "mixed"))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
@@ -49,4 +49,30 @@ def test_mixing_decides_the_order_of_the_result(spark, tmp_path):
     rows = corpus_pipeline.run(spark, d).collect()
     assert sorted(r.mix_position for r in rows) == list(range(len(rows)))
     kept = docs.join(spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long"), "doc_id")
-    assert {r.doc_id: r.mix_position for r in rows} == {r.doc_id: r.mix_position for r in mix(kept).collect()}
+    shown = {r.mix_position: r.doc_id for r in rows}
+    source = {r.doc_id: r.source for r in kept.collect()}
+    want = {r.mix_position: r.row.source for r in mix(kept, tempered_weights(kept)).collect()}
+    assert {at: source[i] for at, i in shown.items()} == want
+
+
+A = " ".join(f"a{i}" for i in range(60))
+B = " ".join(f"b{i}" for i in range(60))
+
+
+def test_stages_work_by_row(spark):
+    names = ["mix_position", "_sha", "_stay_id", "row", "at", "rid", "name", "component"]
+    extra = [f"x-{n}" for n in names]
+    rows = [(3, A), (5, A + " more"), (5, B), (None, B + " more"), (7, None), (7, ""), (8, A), (8, A), (9, "lonely words stand here alone " * 3), (None, "lonely"), (None, "lonely"), (11, "c " + "word" * 100_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", *extra) for i, t in rows], ["doc_id", "text", "lang", "source", *names])
+    near = corpus_pipeline.ngram_join(spark, df, "")
+    assert near.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(3, A), (5, B), (7, None), (7, ""), rows[8], (None, "lonely"), rows[-1]], key=str)
+    exact = corpus_pipeline.exact_dedup(spark, df, "")
+    assert exact.columns == df.columns
+    got = [tuple(r) for r in exact.collect()]
+    assert len(got) == 8 and {(r[0], r[1]) for r in got if r[1]} == {(i, t) for i, t in rows if t and i != 8} and sum(not r[1] for r in got) == 1
+    assert all(r[4:] == tuple(extra) for r in got)
+    laid = corpus_pipeline.mixing(spark, df, "")
+    assert laid.columns == df.columns and laid.count() == len(rows)
+    for stage in (corpus_pipeline.ngram_join, corpus_pipeline.exact_dedup, corpus_pipeline.mixing):
+        assert stage(spark, df.limit(0), "").count() == 0
