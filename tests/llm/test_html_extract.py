@@ -6,16 +6,73 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
-from apilens.llm.html_extract import extract, main_text, text_nodes
+from apilens.llm import html_extract as H
+from apilens.llm.html_extract import extract, main_text, parsed
 
 BODY = "A first paragraph, with enough words, to be the content. It goes on for a while, and then it ends."
 
 
-def test_pages_of_the_table(sf):
-    for page in pq.read_table(f"{sf}/pages.parquet").column("html").to_pylist():
-        inside = re.search(r"(?s)<article>(.*?)</article>", page)[1]
-        want = lib.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") in ("b", "i") else " ", inside))
-        assert main_text(page) == " ".join(want.split())
+def article(page):
+    inside = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+    return " ".join(lib.unescape(re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") in ("b", "i") else " ", inside)).split())
+
+
+def test_pages_of_the_table():
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        assert main_text(page) == article(page)
+
+
+def unmarked(page):
+    """The page without any tag or name that tells its parts apart."""
+    return re.sub(r"(</?)(?:article|nav|footer)>", r"\1div>", page).replace(' class="ad"', "")
+
+
+def test_ratios_decide_where_nothing_is_marked(monkeypatch):
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    long = [p for p in pages if len(article(p)) > 600]
+    assert len(long) > 150
+    assert sum(main_text(unmarked(p)) == article(p) for p in long) >= 0.8 * len(long)
+    assert sum(main_text(p, names=False) == article(p) for p in long) >= 0.7 * len(long)
+    monkeypatch.setattr(H, "fused", lambda length, marks: 1.0)
+    assert sum(main_text(unmarked(p)) == article(p) for p in long) == 0
+
+
+def test_ratios_are_aggregated_smoothed_and_fused():
+    assert H.fused(100, 0) == 10 and H.fused(90, 2) > H.fused(100, 1) and H.fused(9000, 200) == H.ENOUGH
+    elements, blocks = parsed("<body><div><p>aaaa, aaaa.</p><p>bb</p></div><div class=x>cccccc</div></body>")
+    H._placed(elements, True)
+    assert [(b.text, b.chars, b.marks) for b in blocks] == [("aaaa, aaaa.", 11, 2), ("bb", 2, 0), ("cccccc", 6, 0)]
+    assert blocks[0].element.path == blocks[1].element.path != blocks[2].element.path
+    first, second, third = H.smoothed([10.0, 10.0, 0.0], [b.element.section for b in blocks])
+    assert first == pytest.approx(10, abs=0.1) and second > 9.4 and third < 0.6  # other sections hardly count
+    assert H.block_scores(blocks)[0] == pytest.approx(H.fused(6.5, 1.0), rel=0.02)
+
+
+PROBES = ['<div class="layout has-sidebar">{}</div>', '<article class="post comments-open">{}</article>', '<div id="content-share">{}</div>', '<div class="nav-open">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="main sidebar-right">{}</div>', '<table><tr><td class="widget">{}</td></tr></table>']
+
+
+@pytest.mark.parametrize("wrapper", PROBES)
+@pytest.mark.parametrize("inside", [f"<h1>Heading</h1><p>{BODY}</p>", f"<h1>Heading</h1><p>{BODY}</p><p>Short.</p><ul><li>one</li><li>two</li></ul><p>{BODY}</p>"])
+def test_wrappers_whose_names_mislead(wrapper, inside):
+    want = " ".join(re.sub("<[^>]*>", " ", inside).split())
+    assert main_text(f"<html><body>{wrapper.format(inside)}</body></html>") == want
+    menu, foot = '<ul><li><a href="/">Home</a></li><li><a href="/b">About</a></li></ul>', "<footer><p>All rights, reserved.</p></footer>"
+    assert main_text(f"<html><body>{menu}{wrapper.format(inside)}{foot}</body></html>") == want
+
+
+def test_pages_without_article():
+    story = "".join(f"<p>{BODY} {i}.</p>" for i in range(5)) + "<table><tr><td>cell</td><td>42</td></tr></table><blockquote><p>Quoted.</p></blockquote>"
+    want = " ".join(re.sub("<[^>]*>", " ", story).split())
+    links = "".join(f'<div><a href="/{i}">Link number {i}</a></div>' for i in range(12))
+    for page in (f"<div>{links}</div><div><h1>T</h1><div>{story}</div></div><div>{links}</div>", f"<table><tr><td>{links}</td><td><h1>T</h1>{story}</td></tr></table>"):
+        assert main_text(f"<html><body>{page}</body></html>") == f"T {want}"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    deep = "<div>" * 20_000 + f"<p>{BODY}</p>" + "</div>" * 20_000
+    assert main_text(deep) == BODY
+    assert main_text("<b>" * 20_000 + f"<p>{BODY}</p>" * 50 + "</x>" * 20_000) == " ".join([BODY] * 50)
+    assert main_text("<div>x, y." * 5000 + "</i>" * 5000) != ""
 
 
 @pytest.mark.parametrize("apart", [
@@ -38,7 +95,7 @@ def test_odd_markup():
     for page in (None, "", "plain words only", "<p", "<!-- open", "<script>never closed", "<p title='open>text", "</div></div>", "<" * 5000, "<p>" * 5000 + "deep", "<a b=\"" * 2000):
         assert isinstance(main_text(page), str)
     assert main_text("plain words only") == "plain words only"
-    assert [x.text for x in text_nodes("a < b")] == ["a <", " b"]
+    assert [x.text for x in parsed("a < b")[1]] == ["a < b"]
     long = f"<article>{f'<p>{BODY}</p>' * 5000}</article>"
     assert main_text(long) == " ".join([BODY] * 5000)
 
