@@ -1,80 +1,117 @@
 """WARC archives with revisit resolution.
 
-Headers (id, payload digest, size) are shuffled by digest to find each payload's
-original; every record is then joined to its original and written with a fresh
-header, as response with its payload or as revisit without. Archives are read
-back by the lengths that headers state.
+Headers (row, id, digest, size; no payload) are shuffled by payload digest to
+find each payload's original and joined to it. Then the archives are written
+with fresh headers: revisits from headers alone, responses from the rows that
+aren't revisits, each record as a gzip member of its own. Payloads are never
+shuffled. Archives are read back by the lengths that headers state.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilens.llm.common import scratch, table
+from apilens.llm.common import addressed, discard, hot_join, hot_over, map_arrow, marked, scratch, table, written
 
 LEAST_BYTES = 1000  # payloads below are never revisits
 FILE_BYTES = 24 << 20  # payload bytes of an archive, on average
+MEMBER_BYTES = (1 << 24) - 1  # a gzip member's length field ends with a zero byte up to this
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 
 
-def payload_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest (SHA-1 in hex) of every row; a null payload is empty."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+def _payload(html_col: str) -> Column:
+    return F.coalesce(F.col("row")[html_col], F.lit("")).cast("binary")
 
 
-def resolved(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``headers`` with record_type and refers_to.
+def payload_headers(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Of ``rows`` (``row`` and ``at``): at, page_id, url, payload_bytes, payload_digest (SHA-1 in hex); a null payload is empty."""
+    payload = _payload(html_col)
+    return rows.select("at", F.col("row")[id_col].cast("long").alias("page_id"), F.col("row")[url_col].alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
 
-    Only digests that several large payloads share are looked up; counts and the
-    largest id are pre-aggregated before the shuffle.
+
+def revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The headers of payloads that another record has, with ``original`` (page_id, at, url).
+
+    Counts and originals are pre-aggregated before the shuffle by digest; those
+    of digests that very many records share are broadcast.
     """
     large = headers.filter(F.col("payload_bytes") >= least_bytes)
-    groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    joined = headers.join(groups, "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return joined.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("original"))}).drop("original")
+    original = F.max(F.struct("page_id", "at", "url")).alias("original")
+    groups = written(large.groupBy("payload_digest").agg(original, F.count(F.lit(1)).alias("n")).filter("n > 1 AND original.page_id IS NOT NULL"), "originals")
+    found = hot_join(large, groups, groups.filter(F.col("n") > hot_over(headers.count())), ["payload_digest"]).drop("n")
+    return found.filter(~F.col("page_id").eqNullSafe(F.col("original.page_id")))
 
 
-def _record_id(page_id: Column) -> Column:
-    """A stable UUID of the page's record."""
-    h = F.md5(F.concat(F.lit("record:"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def _record_id(page_id: Column, at: Column) -> Column:
+    """A UUID of the row's record, stable for the same table."""
+    h = F.md5(F.concat_ws(":", F.lit("record"), page_id.cast("string"), at.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
-def records(rows: DataFrame, date: str = DATE) -> Column:
-    """A record's bytes as a column, less the last line break, which the writer adds."""
-    revisit = F.col("record_type") == "revisit"
+def _record(kind: str, date: Column, payload: Column) -> Column:
+    """A record's bytes."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", "%0A")
-    head = F.concat(
+    url = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"[\r\n]", "%0A")
+    again, original = kind == "revisit", F.col("original")
+    head = [
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", url),
+        line("WARC-Type", F.lit(kind)),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("at"))),
+        line("WARC-Date", date),
+        line("WARC-Target-URI", url(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.upper("payload_digest"))),
         line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
-        F.lit("\r\n"),
-    )
-    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return F.concat(head.cast("binary"), body, F.lit(b"\r\n"))
+    ]
+    if again:
+        head += [line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(original["page_id"], original["at"])), line("WARC-Refers-To-Target-URI", url(original["url"])), line("X-Refers-To-Page", original["page_id"].cast("string"))]
+    head += [line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.lit("0") if again else F.col("payload_bytes").cast("string")), F.lit("\r\n")]
+    return F.concat(F.concat(*head).cast("binary"), payload, F.lit(b"\r\n\r\n"))
+
+
+def gzip_member(record: bytes) -> bytes:
+    """A gzip member (with an empty one behind, if the record is so long that its length field doesn't end with a zero byte)."""
+    out = zlib.compress(record, 6, 31)
+    return out if len(record) <= MEMBER_BYTES else out + zlib.compress(b"", 6, 31)
+
 
+def write_archives(records: DataFrame, path: str, records_per_file: int) -> None:
+    """Records (bytes) as archives under ``path``, a gzip member each, through Spark's committed writer.
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int) -> None:
-    """Resolved rows as gzipped archives under ``path``, through Spark's committed writer."""
-    rows.select(records(rows).cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    Each member ends with a zero byte, which the writer adds as its line end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip_member(x.as_py())[:-1] for x in batch.column(0)], pa.binary())], names=["value"])
+
+    members = map_arrow(records, run, "value binary").select(F.col("value").cast("string"))
+    members.write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\0").option("compression", "none").text(path)
+    spark = records.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, status in enumerate(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*.txt"))):
+        fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{k:06d}.warc.gz"))
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of a gzipped archive, member by member; what is unpacked at once is one member."""
+    rest, held = data, b""
+    while rest:
+        member = zlib.decompressobj(31)
+        held += member.decompress(rest)
+        if not member.eof:
+            raise ValueError("the archive ends within a member")
+        rest = member.unused_data
+        if held:
+            yield from parse_archive(held)
+        held = b""
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -103,12 +140,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for head, block in parse_archive(gzip.decompress(content.as_py())):
+                for head, block in records_of(content.as_py()):
                     kind, number = head["warc-type"], lambda k, head=head: int(head[k]) if head.get(k) else None
                     stated = head["warc-payload-digest"].removeprefix("sha1:").lower()
                     digest = stated if kind == "revisit" else hashlib.sha1(block).hexdigest()
@@ -122,7 +157,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_arrow(files, run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -130,22 +165,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
 
-def archived(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def archived(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Writes deduplicated archives and reads them back (see read_archives); one record per input row.
 
     Of equal payloads of at least ``least_bytes`` bytes the record with the
     largest page_id is the response, the others revisit it; smaller ones are all
     responses. Null html is an empty payload, a null url an empty target (line
     breaks in urls are written as %0A). Rows that repeat the largest id with the
-    same payload are responses, all of them; rows with a null id are revisits
-    where the payload has any id. An empty table gives an empty result; other
-    columns aren't read. Payload bytes are kept exactly, whatever they hold.
+    same payload are responses, all of them, with record ids of their own; rows
+    with a null id are revisits where the payload has any id. Very long payloads
+    are kept whole. An empty table gives an empty result; other columns, whatever
+    their names, aren't read. Payload bytes are kept exactly, whatever they hold.
+    Records are dated ``date`` (default: the time of writing).
     """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    headers = payload_headers(pages, id_col, url_col, html_col)
+    rows = addressed(pages)
+    headers = written(payload_headers(rows, id_col, url_col, html_col), "warc-headers")
+    again = written(revisits(headers, least_bytes), "revisits")
+    first = marked(rows, again, keep=False)
+    when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    plain = first.select("at", F.col("row")[id_col].cast("long").alias("page_id"), F.col("row")[url_col].alias("url"), _payload(html_col).alias("payload"))
+    plain = plain.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     mean = headers.agg(F.avg("payload_bytes")).first()[0] or 1
-    write_archives(resolved(headers, least_bytes), path, max(1, int(FILE_BYTES / mean)))
+    records = plain.select(_record("response", when, F.col("payload")).alias("record")).unionByName(again.select(_record("revisit", when, F.lit(b"")).alias("record")))
+    write_archives(records, path, max(1, int(FILE_BYTES / mean)))
+    discard(headers, again)
     return read_archives(spark, path)
 
 
