@@ -2,7 +2,9 @@
 
 The trees are trained from URLs that rules label (or any labelled URLs), on a
 bounded sample; features are lengths, depth, digit ratio, entropy, parameter
-counts, and statistics of the host's suffix taken from the training URLs.
+counts, and statistics of the host's suffix taken from the training URLs: for
+these URLs themselves, from other folds, so that no URL's own label is in its
+features.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apilens.llm.common import table
+from apilens.llm.common import map_arrow, table
 
 #: The rules of the query: verdict, host, start of the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_LABELS = 8000  # bound of the labelled URLs that the trees are trained on
+FOLDS = 5  # of the training URLs
 PRIOR = 20.0  # weight of the mean in a suffix's statistics
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digits", "host_digits", "dashes", "entropy", "params", "query_length", "fragment", "secure", "longest", "suffix", "domain", "first")
 
@@ -138,15 +141,23 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     return base.withColumns({"rule": rule, "ruled": verdict})
 
 
-def train(labelled: DataFrame, max_labels: int = MAX_LABELS) -> tuple[list[dict[str, float]], BoostedTrees]:
-    """Statistics and trees from (url, host, path, ruled), at most ``max_labels`` distinct URLs of each verdict."""
+def fitted(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray) -> tuple[list[dict[str, float]], BoostedTrees]:
+    """Statistics of all URLs, and trees fitted with the statistics of the other folds than the URL's own."""
+    fold, x = np.arange(len(urls)) % FOLDS, np.zeros((len(urls), len(FEATURES)))
+    for k in range(FOLDS):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        others = suffix_statistics([hosts[i] for i in rest], [paths[i] for i in rest], blocked[rest])
+        x[own] = lexical([urls[i] for i in own], [hosts[i] for i in own], [paths[i] for i in own], others)
+    return suffix_statistics(hosts, paths, blocked), BoostedTrees().fit(x, blocked)
+
+
+def train(labelled: DataFrame, max_labels: int = MAX_LABELS) -> tuple[list[dict[str, float]], BoostedTrees] | None:
+    """Statistics and trees from (url, host, path, ruled), at most ``max_labels`` distinct URLs of each verdict; none without any."""
     known = labelled.filter("ruled IS NOT NULL").select("url", "host", "path", "ruled").distinct()
     order = [F.xxhash64("url"), F.col("url")]
     rows = [r for kind in ("block", "allow") for r in known.filter(F.col("ruled") == kind).orderBy(*order).limit(max_labels).collect()]
-    urls, hosts, paths = [r.url for r in rows], [r.host for r in rows], [r.path for r in rows]
     blocked = np.array([r.ruled == "block" for r in rows], float)
-    stats = suffix_statistics(hosts, paths, blocked)
-    return stats, BoostedTrees().fit(lexical(urls, hosts, paths, stats), blocked)
+    return fitted([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], blocked) if rows else None
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_labels: int = MAX_LABELS) -> DataFrame:
@@ -155,22 +166,23 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     A rule fits its host and all subdomains if the path starts with the rule's;
     the longest wins. Where none fits, the trees' probability of a block decides
     (block at 0.5 and more). Null URLs and those without ``://`` have empty host
-    and path. Rows with null or repeated ids are judged like others. Without
-    labelled URLs the score is one half of nothing known, so such URLs are
-    blocked. An empty table gives an empty result; other columns aren't read.
+    and path; very long ones are read whole. Rows with null or repeated ids are
+    judged like others. Where no URL is labelled, nothing speaks against any:
+    they are allowed, with a null score. An empty table gives an empty result;
+    other columns aren't read.
     """
     rows = parsed(pages, id_col, url_col, rules)
-    stats, trees = train(rows, max_labels)
+    model = train(rows, max_labels)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = {c: b.column(c).to_pylist() for c in ("url", "host", "path", "ruled")}
-            score = trees.predict(lexical(text["url"], text["host"], text["path"], stats))
-            verdict = [r or ("block" if s >= 0.5 else "allow") for r, s in zip(text["ruled"], score, strict=True)]
+            score = model[1].predict(lexical(text["url"], text["host"], text["path"], model[0])).tolist() if model else [None] * b.num_rows
+            verdict = [r or ("block" if s is not None and s >= 0.5 else "allow") for r, s in zip(text["ruled"], score, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), b.column("rule"), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return map_arrow(rows, run, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op9_url_filter(spark, sf_dir):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from apilens.llm.url_filter import RULES, BoostedTrees, judge
+from apilens.llm.url_filter import RULES, BoostedTrees, fitted, judge, lexical
 
 URLS = [
     "https://a.example.net/en/1?x=1", "https://b.example.net/fr/1", "HTTP://EXAMPLE.COM/de/5#t", "https://x.example.com/fr/9", "http://w.org/fr/", "http://w.org/en/", "no scheme/at all", None, "http://", "://host/p", "http://example.net", "http://notexample.net/en/",
@@ -36,7 +36,40 @@ def test_rules(spark):
 def test_empty_and_clashing(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     odd = spark.createDataFrame([(1, "http://x.org/en/1", "h", 2)], "page_id long, url string, host string, verdict int")
-    assert judge(odd).collect()[0].host == "x.org"
+    got = judge(odd).collect()[0]
+    assert (got.host, got.verdict, got.score) == ("x.org", "allow", None)  # nothing is labelled
+
+
+def made(n, seed):
+    """URLs whose label follows from digits and parameters (four in five), under suffixes that say nothing."""
+    g = np.random.default_rng(seed)
+    urls, hosts, paths, blocked = [], [], [], []
+    for _ in range(n):
+        bad = g.random() < 0.5
+        host = f"{'x' * int(g.integers(3, 12))}{int(g.integers(1000, 99999)) if bad else ''}.site{int(g.integers(0, n // 2))}.{g.choice(['net', 'org', 'com'])}"
+        path = "/" + "/".join("seg" * int(g.integers(1, 3)) for _ in range(int(g.integers(1, 5))))
+        query = "?" + "&".join(f"k{i}={int(g.integers(0, 999))}" for i in range(int(g.integers(2, 6)))) if bad else ""
+        urls.append(f"https://{host}{path}{query}")
+        hosts.append(host)
+        paths.append(path)
+        blocked.append(float(bad != (g.random() < 0.1)))
+    return urls, hosts, paths, np.array(blocked)
+
+
+def test_learned_verdicts_on_held_out_urls():
+    urls, hosts, paths, blocked = made(3000, 1)
+    stats, trees = fitted(urls, hosts, paths, blocked)
+    urls, hosts, paths, blocked = made(1000, 2)
+    score = trees.predict(lexical(urls, hosts, paths, stats))
+    assert ((score >= 0.5) == blocked).mean() > 0.87  # a tenth of the labels is wrong
+    used = {j for tree, _ in trees.trees for features, _ in tree for j in features}
+    assert used - {14, 15, 16}  # not suffixes alone, though most have a single training URL
+
+
+def test_very_long_urls(spark):
+    long = "https://a.example.net/en/" + "x" * 200_000 + "?" + "&".join("k=1" for _ in range(20_000))
+    got = judge(spark.createDataFrame([(1, long), (2, "https://b.net/x"), (3, "http://z.io/" + "y" * 100_000)], "page_id long, url string")).collect()
+    assert {r.page_id: r.verdict for r in got if r.page_id < 3} == {1: "allow", 2: "block"} and len(got) == 3
 
 
 def test_trees_learn():
