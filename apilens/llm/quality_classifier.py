@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apilens.llm.common import table
+from apilens.llm.common import map_arrow, table
 
-MAX_LABELS = 2000  # bound of the labelled sample that the chain is trained on
+MAX_LABELS = 2000  # bound of the labelled sample that the chain is trained on,
+MAX_BYTES = 1 << 16  # and of the bytes of a text in it
+LINES = 1 << 14  # lines of texts that are scored at once, if these are more than one
 SYMBOLS = b"#*$%&<>"
 _UPPER, _DIGITS, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?"
 OWN = 12  # features of a line
@@ -156,17 +158,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
-    """A chain trained on at most ``max_labels`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
+    """A chain trained on at most ``max_labels`` labelled rows outside the held-out fold, with texts of at most ``max_bytes`` bytes."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).select(F.col("doc_id").alias("_labelled"), "quality")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(f"text IS NULL OR octet_length(text) <= {max_bytes}")
     rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "quality", "text").toPandas()
     rows = rows.sort_values(["doc_id", "text"], na_position="first")
     return LineCRF.train(rows["text"].tolist(), rows["quality"].to_numpy(int) if len(rows) else np.zeros(0, int))
 
 
-def classify(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text", batch: int = 512) -> DataFrame:
+def _parts(texts: list[str | None], lines: int = LINES) -> Iterator[slice]:
+    """Texts that are scored together: of ``lines`` lines at most, or one."""
+    at = held = 0
+    for i, text in enumerate(texts):
+        n = (text or "").count("\n") + 1
+        if i > at and held + n > lines:
+            yield slice(at, i)
+            at, held = i, 0
+        held += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def classify(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted; one row per input row.
 
     Empty and null texts, which have no lines, get the share of good labels as
@@ -179,12 +194,11 @@ def classify(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                score = model.scores(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            texts = b.column(2).to_pylist()
+            score = np.concatenate([model.scores(texts[part]) for part in _parts(texts)] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def op1_quality_classifier(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apilens.llm.common import numbered, table
+from apilens.llm.common import map_arrow, numbered, table
 
 SHARDS = 24
 SEED = 20240229
@@ -57,8 +57,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
 
     The law is ``rows``: shard counts differ by one at most, whatever the rows
     hold, so that groups of equal texts spread like any other rows. Null texts
-    have size 8 and the checksum of nothing. Null ids are numbered first;
-    repeated rows get different slots. An empty table gives an empty result;
+    have size 8 and the checksum of nothing; very long ones are measured whole.
+    Null ids are numbered first; repeated rows get different slots. An empty table gives an empty result;
     other columns aren't read. ``grown_shard`` is null under this law.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -70,7 +70,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
             at = permuted(b.column("row_number").to_numpy(), n, seed)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names=[*b.schema.names, "shard", "slot"])
 
-    placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")
+    placed = map_arrow(rows, place, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 

@@ -100,5 +100,7 @@ def test_classifier_edges(spark):
     got = C.classify(df, model).collect()
     assert len(got) == 4 and all(r.score is not None for r in got)
     assert C.classify(df.limit(0), model).count() == 0
+    texts = ["a b c.\n" * n for n in (1, 9, 0, 30, 2, 2)] + [None]
+    assert list(C._parts(texts, 12)) == [slice(0, 2), slice(2, 3), slice(3, 4), slice(4, 7)] and list(C._parts([])) == []
     one = C.LineCRF.train([], np.zeros(0, int))
     assert one.scores([None, "text"]).shape == (2,)

@@ -38,3 +38,6 @@ def test_empty_and_clashing(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a", "x", 3)], "doc_id long, text string, shard string, _at int")
     assert shard(odd).count() == 1
+    long = "é" * 3_000_000
+    got = shard(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()[0]
+    assert (got.size, got.text_crc32) == (6_000_008, zlib.crc32(long.encode()))
