@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from apilens.llm.common import table
+from apilens.llm.common import map_arrow, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NEVER = 1 << 60
@@ -163,6 +163,10 @@ class ByteBPE:
         pattern = self.plane if text.isascii() or max(text) <= "\uffff" else self.pattern
         return b"".join([get(p) or slow(p) for p in pattern.findall(text)])
 
+    def forget(self) -> None:
+        """Drops what is remembered of pieces and pairs."""
+        self.pieces, self.older, self.follows = {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -209,10 +213,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
                     arrays, names = [*arrays, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 arrays, names = [*arrays, *[c.slice(at, 256) for c in batch.columns[2:]]], [*names, *(keep or [])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep or [])
-    return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids + kept)
+    return map_arrow(rows, run, schema + ", ids array<int>" * with_ids + kept)
 
 
 def op7_byte_bpe(spark, sf_dir):

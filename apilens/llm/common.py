@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_KEYS = 10_000  # a key is hot if it has more than one in so many of all rows,
 HOT_ROWS = 256  # and more rows than this
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 MARKED = 1 << 14  # bitmaps (of 32768 row numbers, 4 KB each) up to which they are broadcast: 64 MB
 
 
@@ -71,6 +76,33 @@ def discard(*frames: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def map_arrow(rows: DataFrame, run, schema) -> DataFrame:
+    """``rows.mapInArrow`` by batches of at most BATCH_BYTES or one row: rows may be long, and Spark's default is 64 MB.
+
+    The session keeps the bound, unless it has set one itself. Workers live on
+    after a task, so what the task has freed goes back to the system at its end.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_CONF) == "67108864b":
+        conf.set(BATCH_CONF, BATCH_BYTES)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return rows.mapInArrow(task, schema)
+
+
+def local_frame(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """Rows of the driver's as a frame, handed over as Arrow: no Python worker takes part."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def column(name: str) -> Column:
     """The column of that very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -92,7 +124,7 @@ def numbered(df: DataFrame, by: list[str], name: str, tag: str) -> tuple[DataFra
     for p, c in counts:
         starts.append((p, total))
         total += c
-    offsets = spark.createDataFrame(starts, "_p long, _start long")
+    offsets = local_frame(spark, pa.schema([("_p", pa.int64()), ("_start", pa.int64())]), starts)
     within = F.col("_at").bitwiseAND((1 << 33) - 1)
     out = kept.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + within).drop("_at", "_p", "_start")
     out._scratch = kept._scratch
@@ -134,7 +166,7 @@ def addressed(docs: DataFrame) -> DataFrame:
     for r in files:
         starts.append((r.h, at))
         at += r.n
-    offsets = spark.createDataFrame(starts, "h long, start long")
+    offsets = local_frame(spark, pa.schema([("h", pa.int64()), ("start", pa.int64())]), starts)
     rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), F.xxhash64(meta["file_path"]).alias("h"), meta["row_index"].alias("i"))
     return rows.join(F.broadcast(offsets), "h").select("row", (F.col("start") + F.col("i")).alias("at"))
 

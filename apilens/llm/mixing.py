@@ -21,11 +21,11 @@ import heapq
 from fractions import Fraction
 from math import gcd, isqrt, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from apilens.llm.common import addressed, numbered, table
+from apilens.llm.common import addressed, local_frame, numbered, table
 
 BLOCK_ROWS = 16  # rows of a block, at least
 MAX_BLOCKS = 1 << 18  # more rows than these blocks hold make larger blocks
@@ -87,7 +87,7 @@ def plan(sizes: list[int], weights: list, block_rows: int = BLOCK_ROWS) -> list[
 
 
 _ARRAYS = ("phases", "releases", "deadlines", "slots", "missing")
-_PIECES = T.StructType([T.StructField("of", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("begin", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in _ARRAYS]])
+_PIECES = pa.schema([("of", pa.string()), ("piece", pa.int64()), ("begin", pa.int64()), *((c, pa.list_(pa.int64())) for c in _ARRAYS)])
 
 
 def _source_rows(counts: DataFrame) -> list[tuple[str | None, int]]:
@@ -119,10 +119,10 @@ def _placed(rows: DataFrame, weights: dict | None, block_rows: int, seed: int, i
         for k in range(0, len(blocks), PIECE_BLOCKS):
             pieces.append((s, k // PIECE_BLOCKS, begin, *([min(x, LAST) for x in c] for c in zip(*blocks[k : k + PIECE_BLOCKS], strict=True))))
         begin += n
-    begins = spark.createDataFrame([p[:1] + p[2:3] for p in pieces if p[1] == 0], "of string, begin long")
+    begins = local_frame(spark, pa.schema([("of", pa.string()), ("begin", pa.int64())]), [p[:1] + p[2:3] for p in pieces if p[1] == 0])
     own = keys.join(F.broadcast(begins), F.col("source").eqNullSafe(F.col("of"))).select("source", "at", (F.col("rank") - F.col("begin")).alias("rank"))
     own = own.withColumn("block", F.expr(f"rank div {size}"))
-    listed = F.broadcast(spark.createDataFrame(pieces, _PIECES).drop("begin"))
+    listed = F.broadcast(local_frame(spark, _PIECES, pieces).drop("begin"))
     found = own.join(listed, F.col("source").eqNullSafe(F.col("of")) & (F.expr(f"block div {PIECE_BLOCKS}") == F.col("piece")))
     of = lambda name: F.element_at(name, (F.col("block") % PIECE_BLOCKS + 1).cast("int"))
     position = of("slots") * size - of("missing") + F.col("rank") % size

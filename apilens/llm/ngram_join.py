@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apilens.llm.common import addressed, discard, hot_join, hot_over, marked, table, written
+from apilens.llm.common import addressed, discard, hot_join, hot_over, map_arrow, marked, table, written
 from apilens.llm.components import components
 
 WORDS = 5
@@ -232,7 +232,7 @@ def _profile(rows: DataFrame) -> DataFrame:
         if size:
             yield from often(counted[:size])
 
-    return rows.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, n long, first long, sid binary, token long, seen long, tiny long")
+    return map_arrow(rows.select("doc_id", "at", "text"), run, "doc_id long, at long, n long, first long, sid binary, token long, seen long, tiny long")
 
 
 _POSTINGS = pa.schema([("rid", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("central", pa.int32()), ("clash", pa.int32()), *((w, pa.int64()) for w in PARITY), ("token", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("pos", pa.int32()), ("bucket", pa.int64()), ("packed", pa.binary())])
@@ -307,7 +307,7 @@ def _postings(rows: DataFrame, heavy: np.ndarray, small: int, percent: int, buck
             yield from flushed(rid, sets, nodes)
 
     schema = f"rid long, node long, n long, central int, clash int, {', '.join(f'{w} long' for w in PARITY)}, token long, lo int, hi int, pos int, bucket long, packed binary"
-    return rows.select("at", "text").mapInArrow(run, schema)
+    return map_arrow(rows.select("at", "text"), run, schema)
 
 
 def _met(packed: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     at, size, items = at + len(items), 0, []
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(items)), pa.array(items, pa.binary())], names=["at", "items"])
 
-    return rows.select("at", "text").mapInArrow(run, "at long, items binary")
+    return map_arrow(rows.select("at", "text"), run, "at long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -383,7 +383,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b"), run, "a long, b long")
 
 
 def _subset_links(keyed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apilens.llm.common import table
+from apilens.llm.common import map_arrow, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -91,7 +91,7 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names=list(STATS))], names=["row", "stats"])
 
     counts = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
-    return packed.mapInArrow(run, T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("stats", counts)]))
+    return map_arrow(packed, run, T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("stats", counts)]))
 
 
 def features(stats: str = "stats") -> dict[str, Column]:
