@@ -52,7 +52,7 @@ def main(args: list[str]) -> int:
             print(f"warning: {r.warning}", file=sys.stderr)
         return 0
     assets = scan.assets(scan.scan_documents(roots.select("site_id", "url", F.lit("html").alias("kind"), "body"))).select("site_id", "url", F.col("seq") + 1)
-    files = roots.select("site_id", "url", F.lit(0).alias("place")).unionByName(assets.toDF("site_id", "url", "place").limit(policy.MAX_ASSETS))
+    files = roots.select("site_id", "url", F.lit(0).alias("place")).unionByName(assets.toDF("site_id", "url", "place").orderBy("place", "url").limit(policy.MAX_ASSETS))
     docs = files.join(store.select("site_id", "url", "body"), ["site_id", "url"])
     hits = search.grep(docs, a.pattern, ["place", "url"], "body", a.context, None if a.all else a.max_bytes_per_hit)
     if a.all:

@@ -13,11 +13,12 @@ def canonicalised(evidence: DataFrame) -> DataFrame:
 
 
 def demoted(evidence: DataFrame, scope: list[str]) -> DataFrame:
-    """Without candidates that are APIs, and routes that are APIs or candidates, by URL within the scope."""
-    kinds = evidence.groupBy(*scope, "url").agg(F.bool_or(F.col("kind") == "api").alias("_api"), F.bool_or(F.col("kind") == "candidate").alias("_candidate"))
-    joined = evidence.join(kinds, [*scope, "url"])
+    """Without candidates that are APIs, and routes that are APIs or candidates, by URL within the scope; one pass over the evidence."""
+    own = Window.partitionBy(*scope, "url")
+    held = lambda kind: F.max(F.col("kind") == kind).over(own)
+    said = evidence.withColumns({"_api": held("api"), "_candidate": held("candidate")})
     drop = ((F.col("kind") == "candidate") & F.col("_api")) | ((F.col("kind") == "route") & (F.col("_api") | F.col("_candidate")))
-    return joined.filter(~drop).drop("_api", "_candidate")
+    return said.filter(~drop).drop("_api", "_candidate")
 
 
 def compacted(evidence: DataFrame, scope: list[str], order: str = "seq") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apilens import policy
+from apilens.sources.store import checkpointed
 
 HITS = "at long, line long, col long, snippet string, shortened boolean, hidden_bytes long, shown_bytes long"
 
@@ -92,8 +93,10 @@ def capped(hits: DataFrame, order: list[str], most: int = policy.GREP_HITS) -> t
     """The first ``most`` hits in file order (the feature's limit), and one row that counts what isn't shown.
 
     The limit is a top-k, not a ranking of all hits: what is shown is small and
-    is told from the rest by its place.
+    is told from the rest by its place. The hits are written once, so that the
+    documents are searched once for both.
     """
+    hits = checkpointed(hits)
     shown = hits.orderBy(*order, "at").limit(most)
     keys = [*order, "at"]
     marked = hits.join(F.broadcast(shown.select(*keys).withColumn("_shown", F.lit(True))), keys, "left")

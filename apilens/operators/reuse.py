@@ -16,8 +16,7 @@ def content_hash(body: Column) -> Column:
 def scan_distinct(docs: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """Evidence per document, each distinct body scanned once: the scan is joined back by content hash."""
     keyed = docs.select(F.col(id_col).alias("id"), content_hash(F.col(body_col)).alias("hash"), F.col(body_col).alias("body"))
-    once = keyed.groupBy("hash").agg(F.min("id").alias("first"))
-    bodies = keyed.join(once, (keyed["id"] == once["first"]) & (keyed["hash"] == once["hash"]), "left_semi").select("hash", "body").dropDuplicates(["hash"])
+    bodies = keyed.select("hash", "body").dropDuplicates(["hash"])
     return keyed.select("id", "hash").join(scan.scan_bodies(bodies, "hash", "body").withColumnRenamed("id", "hash"), "hash").drop("hash")
 
 

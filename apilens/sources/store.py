@@ -14,9 +14,12 @@ from apilens.functions import urls
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; where it is unset, a temporary one if all runs in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "apilens-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -65,6 +65,13 @@ def test_columns_like_kernels(spark, texts):
             assert r.app == frameworks.app_route(r.s), r.s
 
 
+@pytest.mark.parametrize("name", ["q09_api_shapes", "q10_axios_bodies", "q14_demote", "q16_api_surface", "q36_grep_cap_summary"])
+def test_documents_are_scanned_once(spark, sf, name):
+    df = queries.QUERIES[name](spark, sf)
+    df.collect()
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("MapInArrow") == (0 if "grep" in name else 1)
+
+
 def test_finalize_demotes_and_merges(spark):
     shape = "struct<methods: int, has_body: boolean, has_headers: boolean, content_types: int, auth: boolean, next_server_action: boolean, query_params: array<string>>"
     rows = [

@@ -208,3 +208,11 @@ def test_grep():
     assert wide[0][4] and wide[0][3].startswith("…") and wide[0][3].endswith("…") and "needle" in wide[0][3]
     assert window(b"a" * 100, 0, 100, 0, 80, 10) == (0, 10)
     assert grep_bytes(data, b"") == [] and grep_bytes(b"", b"x") == []
+
+
+@pytest.mark.parametrize("text, route", [
+    (r'pattern:/^\/blog\/([^/]+?)\/?$/,params:["slug"]', "/blog/[slug]"), (r'pattern:/^\/a(?:\/([^/]*(?:x(y))?))?\/b$/,names:["p","q"]', "/a/[p]/b"), (r"pattern:/^\/f\/([^/]+)\.json$/", "/f/[param].json"),
+    (r"pattern:/^\/$/", None), ("pattern:/x/", None), (r"pattern:/^\/open\/(abc", "/open/[param]"), (r"pattern:/^\/one-two_3~4\/\d+/", "/one-two_3~4"),
+])
+def test_routes_of_patterns(text, route):
+    assert frameworks._pattern_route(text.encode()) == route
