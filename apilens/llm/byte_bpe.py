@@ -29,9 +29,10 @@ from apilens.llm.common import map_arrow, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NEVER = 1 << 60
-PAIR_MEMO = 1 << 17  # pairs that a worker remembers: about 20 MB
-PIECE_MEMO = 1 << 16  # pieces of each of two generations: about 25 MB
+PAIR_MEMO = 1 << 18  # pairs that a worker remembers: about 25 MB
+PIECE_MEMO = 3 << 15  # pieces of each of two generations: about 35 MB
 PIECE_MEMO_CHARS = 64
+MET = 1 << 21  # places of the table by which a piece met before is told from a new one: 2 MB
 
 
 def _first_plane(pattern: str) -> re.Pattern:
@@ -61,9 +62,10 @@ class ByteBPE:
         for b, i in ranks.items():
             self.token_bytes[i] = b
         self.size = [len(b) for b in self.token_bytes]
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.met = bytearray(MET)
         # Tokens that merging never forms from their own bytes can only be whole pieces.
         formed, self.parts = {}, {}
         for b, i in ranks.items():
@@ -111,12 +113,12 @@ class ByteBPE:
                 return True
 
     def _fits(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
+        known = self.follows.get(left << 32 | right)
         if known is None:
             if len(self.follows) >= PAIR_MEMO:
                 self.follows.clear()
             known = self._stay_apart(left, right)
-            self.follows[left, right] = known
+            self.follows[left << 32 | right] = known
         return known
 
     def piece_ids(self, data: bytes) -> list[int]:
@@ -133,7 +135,7 @@ class ByteBPE:
         while at < n:
             while token >= 0:
                 end = at + size[token]
-                if open_[end] and (last < 0 or (follows((last, token)) or fits(last, token))):
+                if open_[end] and (last < 0 or (follows(last << 32 | token) or fits(last, token))):
                     break
                 token = shorter[token]
             if token >= 0:
@@ -151,7 +153,10 @@ class ByteBPE:
     def _piece(self, piece: str) -> bytes:
         if (found := self.older.get(piece)) is None:
             found = struct.pack(f"<{len(ids := self.piece_ids(piece.encode()))}I", *ids)
-        if len(piece) <= PIECE_MEMO_CHARS and len(self.pieces) < 2 * PIECE_MEMO:
+        # Most distinct pieces come once: only one met before (or that shares its place with one) is remembered.
+        if self.met[at := hash(piece) % MET] == 0:
+            self.met[at] = 1
+        elif len(piece) <= PIECE_MEMO_CHARS and len(self.pieces) < 2 * PIECE_MEMO:
             self.pieces[piece] = found
         return found
 
@@ -165,7 +170,7 @@ class ByteBPE:
 
     def forget(self) -> None:
         """Drops what is remembered of pieces and pairs."""
-        self.pieces, self.older, self.follows = {}, {}, {}
+        self.pieces, self.older, self.follows, self.met = {}, {}, {}, bytearray(MET)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
