@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,50 @@ def parsed(s: Column) -> Column:
     )
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which stands in the plan once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _ascii(s: Column) -> Column:
+    """What isn't ASCII percent-encoded in UTF-8."""
+    runs = F.regexp_extract_all(s, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"))
+    return F.array_join(F.transform(runs, lambda x: F.when(F.regexp_like(x, F.lit(r"\A[\x00-\x7F]")), x).otherwise(F.url_encode(x))), "")
+
+
+def _spelt(text: Column) -> Column:
+    """``absolute`` of what is ASCII."""
+    sound = lambda u: F.regexp_like(u["host"], F.lit(r"\A(?:\[[0-9a-f:.]+\]|[^\x00-\x20\"#%/:<>?@\[\\\]^|\x7f]+)\z"))
+    tail = lambda mark, c: F.coalesce(F.concat(F.lit(mark), c.cast("string")), F.lit(""))
+    user = F.regexp_extract(part(text, 2), r"(?s)\A.*@", 0)
+    return _bound(parsed(text), lambda u: F.when(sound(u), F.concat(u["scheme"], F.lit("://"), user, u["host"], tail(":", u["port"]), u["path"], tail("?", u["query"]), tail("#", u["fragment"]))))
+
+
+def absolute(s: Column) -> Column:
+    """An absolute URL in one spelling: scheme and host in lower case, no default port, a clean path; null where it isn't one."""
+    return _bound(_ascii(s), _spelt)
+
+
+def _joined(b: Column, r: Column, rest: Column) -> Column:
+    """What ``r``, with ``rest`` before its query and fragment, means at ``b``."""
+    origin = F.concat(part(b, 1), F.lit("://"), part(b, 2))
+    tail = F.substr(r, F.length(rest) + 1)
+    query = F.when(tail.startswith("?"), "").otherwise(F.regexp_extract(b, r"(?s)\A[^?#]*(\?[^#]*)", 1))
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.regexp_extract(part(b, 3), r"(?s)\A.*/", 0), rest))
+    return (
+        F.when(F.regexp_like(r, F.lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*:")), r)
+        .when(rest.startswith("//"), F.concat(part(b, 1), F.lit(":"), r))
+        .when(rest == "", F.concat(origin, part(b, 3), query, tail))
+        .otherwise(F.concat(origin, path, tail))
+    )
+
+
+def joined(base: Column, ref: Column) -> Column:
+    """``ref`` as seen from ``base``, in the spelling of ``absolute``; null where either can't be read."""
+    whole = lambda b, r: _bound(F.regexp_extract(r, r"(?s)\A[^?#]*", 0), lambda rest: _joined(b, r, rest))
+    return _bound(absolute(base), lambda b: F.when(b.isNotNull(), _bound(_bound(_ascii(ref), lambda r: whole(b, r)), _spelt)))
+
+
 def cache_key(s: Column) -> Column:
     """Scheme, host, path without its last slash, and the query's pairs in order."""
     u = parsed(s)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apilens import policy
@@ -51,19 +52,32 @@ def fetchable(addresses: DataFrame, url_col: str = "url", allow_private: bool =
     return typed.filter(F.col(url_col).isNotNull() & urls.is_allowed(F.col(url_col), allow_private))
 
 
-def resolved_redirects(starts: DataFrame, redirects: DataFrame, hops: int = 10) -> DataFrame:
-    """(start, url, hops, final): where addresses lead over (url, location), ten hops at most; not final where they go on."""
-    at = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("hops"))
+def resolved_redirects(starts: DataFrame, redirects: DataFrame, hops: int = 10, allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(start, url, hops, final): where addresses lead over (url, location), ``hops`` redirects at most.
+
+    A location is joined to the address that answered with it; addresses are
+    compared and returned in one spelling (``urls.absolute``). Names without
+    ``://`` are followed as they stand. Not final are chains that go on
+    after ``hops`` requests, those whose location can't be joined, and those that
+    reach an address that ``allowed`` forbids (checked before each request, the
+    start's included).
+    """
+    spelt = F.coalesce(urls.absolute(F.col("url")), F.col("url"))
+    moves = redirects.select(spelt.alias("url"), F.col("location").alias("_to")).filter("_to IS NOT NULL")
+    at = starts.select(F.col("url").alias("start"), spelt.alias("url"), F.lit(0).alias("hops"))
+    barred = ~F.coalesce(allowed(F.col("url")), F.lit(False)) if allowed else F.lit(False)
+    target = F.when(F.col("url").contains("://"), urls.joined(F.col("url"), F.col("_to"))).otherwise(F.col("_to"))
     done = None
     for _ in range(hops):
-        step = checkpointed(at.join(redirects.select("url", "location"), "url", "left"))
-        ended = step.filter("location IS NULL").select("start", "url", "hops", F.lit(True).alias("final"))
+        step = checkpointed(at.join(moves, "url", "left").select("start", "url", "hops", "_to", barred.alias("_barred"), target.alias("_next")))
+        on = ~F.col("_barred") & F.col("_next").isNotNull()
+        ended = step.filter(~on).select("start", "url", "hops", (~F.col("_barred") & F.col("_to").isNull()).alias("final"))
         done = ended if done is None else done.unionByName(ended)
-        at = step.filter("location IS NOT NULL").select("start", F.col("location").alias("url"), (F.col("hops") + 1).alias("hops"))
+        at = step.filter(on).select("start", F.col("_next").alias("url"), (F.col("hops") + 1).alias("hops"))
         if at.isEmpty():
             return done
-    last = at.join(redirects.select("url", F.lit(True).alias("_more")), "url", "left")
-    return done.unionByName(last.select("start", "url", "hops", F.col("_more").isNull().alias("final")))
+    last = at.withColumn("final", F.lit(False))
+    return last if done is None else done.unionByName(last)
 
 
 def fresh(cache: DataFrame, now, ttl_s: int = policy.FRESH_S) -> DataFrame:
