@@ -434,7 +434,21 @@ def q50_crawl_chunks(spark, d):
     pages = table(spark, d, "part").select(site.alias("site_id"), F.col("p_partkey"))
     roots = pages.select("site_id", C.text("https://g.example/", F.col("p_partkey"), "/").alias("url"), C.text('<script src="/part-', F.col("p_partkey"), '.js"></script>').cast("binary").alias("body"))
     chunks, leaf = C.chunk_store(spark, d), pages.select("site_id", C.text("https://g.example/part-", F.col("p_partkey"), ".js").alias("url"))
-    shared = pages.select("site_id").distinct().crossJoin(chunks.filter(F.col("url").contains("/size-")))
+    sizes = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: C.text("https://g.example/size-", k, ".js"))
+    shared = pages.select("site_id").distinct().select("site_id", F.explode(sizes).alias("url")).join(chunks, "url")
     found = crawl.crawl(roots, chunks.join(leaf, "url").unionByName(shared))
     apis = found.evidence.filter("kind = 'api'").groupBy("site_id").agg(F.array_join(F.array_sort(F.collect_set("url")), ",").alias("apis"))
     return found.stats.join(apis, "site_id").select("site_id", F.col("discovered").cast("long"), F.col("failed").cast("long"), F.col("unauthorized").cast("long"), "capped", "apis")
+
+
+@query("""SELECT 'https://R.example:443/shop/' || s_suppkey AS start, CASE s_suppkey % 6 WHEN 0 THEN 'https://r.example/new/' || s_suppkey WHEN 1 THEN 'https://r.example/old/' || s_suppkey || '?v=1'
+  WHEN 2 THEN 'https://m.example/' || s_suppkey WHEN 3 THEN 'https://r.example/shop/' || s_suppkey || '?page=2' WHEN 4 THEN 'http://127.0.0.1/' || s_suppkey ELSE 'https://r.example/shop/' || s_suppkey END AS url,
+  CAST(CASE WHEN s_suppkey % 6 < 5 THEN 1 ELSE 0 END AS INT) AS hops, s_suppkey % 6 <> 4 AS final FROM supplier""")
+def q51_relative_redirects(spark, d):
+    """Locations from the root, beside the address, of another host, of a query alone, and of a private address; every sixth has none."""
+    k = F.col("s_suppkey")
+    forms = F.array(C.text("/new/", k), C.text("../old/./", k, "?v=1"), C.text("//m.example/", k), F.lit("?page=2"), C.text("http://127.0.0.1/", k))
+    rows = table(spark, d, "supplier").select(k, F.get(forms, (k % 6).cast("int")).alias("location"))
+    redirects = rows.filter("location IS NOT NULL").select(C.text("https://r.example/shop/", k).alias("url"), "location")
+    starts = rows.select(C.text("https://R.example:443/shop/", k).alias("url"))
+    return store.resolved_redirects(starts, redirects, allowed=urls.is_allowed)

@@ -13,7 +13,7 @@ from apilens import sql
 from apilens.functions import classify as K
 from apilens.functions import frameworks as KF
 from apilens.functions import shapes, urls
-from apilens.kernels import classify, frameworks
+from apilens.kernels import classify, frameworks, urlx
 from apilens.operators import crawl, finalize, grep, render, reuse, scan
 from apilens.plans import queries
 from apilens.sources import store
@@ -146,6 +146,38 @@ def test_store_and_redirects(spark, tmp_path):
     assert [r.x for r in hit] == [2]
 
 
+def test_native_join_equals_kernel(spark):
+    bases = ["https://H.example:443/a/b?q=1#f", "http://u:p@h.example:8080/", "https://h.example", "https://[::1]:80/x/", "not absolute", "https://bad host/"]
+    refs = ["", "c", "../c", "/c/./d/..", "//M.example/z", "?p", "#g", "https://o.example/../x", "http:broken", "a?b#c", "é/ü?ñ", "./", "..", "/x:y", "//", "c//d"]
+
+    def known(base, ref):
+        try:
+            return str(urlx.parse(base).join(ref))
+        except urlx.BadUrl:
+            return None
+
+    rows = spark.createDataFrame([(b, r, known(b, r)) for b in bases for r in refs] + [(None, "x", None), ("https://h.example/", None, None)], "base string, ref string, known string")
+    got = rows.select("base", "ref", "known", urls.joined(F.col("base"), F.col("ref")).alias("got")).collect()
+    assert [(r.base, r.ref, r.got) for r in got if r.got != r.known] == []
+
+
+def test_redirects_join_and_stop(spark):
+    base = "https://h.example/a/"
+    moves = spark.createDataFrame([(base + "1", "2"), ("https://H.example:443/a/2", "/b"), (base + "p", "http://10.0.0.1/"), (base + "m", "mailto:x"), (base + "n", None)], "url string, location string")
+    starts = spark.createDataFrame([(base + x,) for x in "1pmn"] + [("http://localhost/",)], "url string")
+    got = {r.start: (r.url, r.hops, r.final) for r in store.resolved_redirects(starts, moves, allowed=urls.is_allowed).collect()}
+    assert got == {
+        base + "1": ("https://h.example/b", 2, True),
+        base + "p": ("http://10.0.0.1/", 1, False),
+        base + "m": (base + "m", 0, False),
+        base + "n": (base + "n", 0, True),
+        "http://localhost/": ("http://localhost/", 0, False),
+    }
+    ring = spark.createDataFrame([(base + "x", "y"), (base + "y", "x")], "url string, location string")
+    assert store.resolved_redirects(starts.limit(0), ring).count() == 0
+    assert store.resolved_redirects(ring.select("url").limit(1), ring, 3).collect()[0][1:] == (base + "y", 3, False)
+
+
 def test_table_functions(spark, sf):
     sql.register(spark, {"pages": f"{sf}/pages.parquet"})
     n = spark.sql("SELECT count(DISTINCT p.page_id, e.url) FROM pages p, LATERAL scan_endpoints(p.html) e WHERE e.kind = 'route'").first()[0]
