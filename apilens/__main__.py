@@ -45,11 +45,15 @@ def main(args: list[str]) -> int:
     if a.verb == "scan":
         found = crawl.crawl(roots, store)
         apis = finalize.api_surface(found.evidence, ["site_id"])
-        rows = render.api_json(apis).orderBy("path").select("json") if a.json else render.rendered(apis, ["site_id"]).orderBy("group", "path").select("text")
-        for r in rows.toLocalIterator():
-            print(r[0])
-        for r in render.warnings(found.stats).toLocalIterator():
-            print(f"warning: {r.warning}", file=sys.stderr)
+        warnings = [r.warning for r in render.warnings(found.stats).collect()]  # two a site at most
+        if a.json:
+            rows = render.api_json(apis).orderBy("path").select("json").toLocalIterator()
+            sys.stdout.writelines(render.json_document((r.json for r in rows), warnings))
+        else:
+            rows = render.rendered(apis, ["site_id"]).orderBy("group", "path").select("group", "text").toLocalIterator()
+            sys.stdout.writelines(render.text_document(rows))
+        for w in warnings:
+            print(f"warning: {w}", file=sys.stderr)
         return 0
     assets = scan.assets(scan.scan_documents(roots.select("site_id", "url", F.lit("html").alias("kind"), "body"))).select("site_id", "url", F.col("seq") + 1)
     files = roots.select("site_id", "url", F.lit(0).alias("place")).unionByName(assets.toDF("site_id", "url", "place").orderBy("place", "url").limit(policy.MAX_ASSETS))

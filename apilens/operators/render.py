@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +66,21 @@ def warnings(stats: DataFrame) -> DataFrame:
     )
     capped = F.when(F.col("capped"), F.format_string("stopped after %d discovered assets; results may be incomplete", F.col("discovered")))
     return stats.select("site_id", F.explode(F.array_compact(F.array(failed, capped))).alias("warning"))
+
+
+def json_document(apis: Iterable[str], warnings: Iterable[str]) -> Iterator[str]:
+    """One JSON object of a site, piece by piece: its APIs (objects, in their order) and its warnings."""
+    yield '{"apis":['
+    for i, api in enumerate(apis):
+        yield "," * (i > 0) + api
+    yield '],"warnings":[' + ",".join(json.dumps(w, ensure_ascii=False) for w in warnings) + "]}\n"
+
+
+def text_document(rows: Iterable[tuple[str, str]]) -> Iterator[str]:
+    """Lines of (group, text), sorted by group, with an empty line between groups."""
+    last = None
+    for group, text in rows:
+        if last is not None and group != last:
+            yield "\n"
+        yield text + "\n"
+        last = group

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from apilens import __main__ as command_line
 from apilens import sql
 from apilens.functions import classify as K
 from apilens.functions import frameworks as KF
@@ -146,6 +149,19 @@ def test_store_and_redirects(spark, tmp_path):
     assert [r.x for r in hit] == [2]
 
 
+def test_scan_documents_of_the_command_line(spark, tmp_path, capsys):
+    assert "".join(render.json_document([], [])) == '{"apis":[],"warnings":[]}\n'
+    assert "".join(render.text_document([("/a", "/a"), ("/a", "  /b"), ("/c", "/c")])) == "/a\n  /b\n\n/c\n"
+    site, gone = "https://h.example/", '<script src="/gone.js"></script>'
+    root = f'{gone}<script>fetch("/api/items",{{method:"POST"}});fetch("/users/list")</script>'.encode()
+    spark.createDataFrame([("s", site, 200, root)], "site_id string, url string, status int, body binary").write.parquet(f"{tmp_path}/store")
+    assert command_line.main(["scan", f"{tmp_path}/store", site, "--json"]) == 0
+    out, err = capsys.readouterr()
+    got = json.loads(out)
+    assert [(x["path"], "POST" in x["methods"]) for x in got["apis"]] == [("/api/items", True), ("/users/list", False)]
+    assert len(got["warnings"]) == 1 and got["warnings"][0] in err
+
+
 def test_native_join_equals_kernel(spark):
     bases = ["https://H.example:443/a/b?q=1#f", "http://u:p@h.example:8080/", "https://h.example", "https://[::1]:80/x/", "not absolute", "https://bad host/"]
     refs = ["", "c", "../c", "/c/./d/..", "//M.example/z", "?p", "#g", "https://o.example/../x", "http:broken", "a?b#c", "é/ü?ñ", "./", "..", "/x:y", "//", "c//d"]
