@@ -97,6 +97,17 @@ def map_arrow(rows: DataFrame, run, schema) -> DataFrame:
     return rows.mapInArrow(task, schema)
 
 
+def collected(spark: SparkSession) -> None:
+    """Asks the executors' JVMs to collect their garbage, so that they give heap they don't use back to the system.
+
+    A heap stays as large as the busiest stage has made it, and direct buffers
+    stay until their owners are collected; Python workers need room beside both.
+    One task a core, so that each executor gets one. No result depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def local_frame(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
     """Rows of the driver's as a frame, handed over as Arrow: no Python worker takes part."""
     columns = list(zip(*rows, strict=True)) or [()] * len(schema)

@@ -4,7 +4,8 @@
 as Parquet in the shared folder and read again as the next one's input. Stages
 work by row, not by id: ids may be null or repeated. All but the last return the
 columns that they are given, whatever their names; an empty table gives an empty
-result.
+result. The two stages with the most memory, in the JVM (n-gram join) and in Python
+(byte BPE), first have the executors give back what stages before them have left.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from apilens.llm.byte_bpe import encode_documents
-from apilens.llm.common import table, written
+from apilens.llm.common import collected, table, written
 from apilens.llm.exact_dedup import deduplicated
 from apilens.llm.mixing import laid_out, mixed, tempered_weights
 from apilens.llm.ngram_join import representatives
@@ -32,6 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest id (null ids last); texts without words all stay."""
+    collected(spark)
     return representatives(docs)
 
 
@@ -42,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, digests of the ids and of the decoded text, and each row's place in the order that mixing laid out."""
+    collected(spark)
     rows = laid_out(docs).select("row.doc_id", "row.text", "mix_position")
     return encode_documents(rows, with_ids=False, keep=["mix_position"])
 

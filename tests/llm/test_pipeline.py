@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
+import pytest
 from apilens.llm import quality_rules as R
 from apilens.llm.byte_bpe import VOCABULARY, tokenizer
 from apilens.llm.mixing import mix, tempered_weights
@@ -76,3 +77,13 @@ def test_stages_work_by_row(spark):
     assert laid.columns == df.columns and laid.count() == len(rows)
     for stage in (corpus_pipeline.ngram_join, corpus_pipeline.exact_dedup, corpus_pipeline.mixing):
         assert stage(spark, df.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.ngram_join, corpus_pipeline.byte_bpe])
+def test_stages_first_have_the_executors_collect_what_others_have_left(spark, stage, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "representatives", lambda docs: docs)
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(c.getCollectionCount() for c in collectors if c.getName() in ("G1 Old Generation", "MarkSweepCompact"))
+    before = full()
+    stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "")
+    assert full() > before
